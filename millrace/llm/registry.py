@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import pii, secrets
 
-_MODULES = (pii,)
+_MODULES = (pii, secrets)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
