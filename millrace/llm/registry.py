@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, pii, quality, secrets, simhash
+from . import chat, mixing, pii, quality, secrets, simhash
 
-_MODULES = (pii, chat, quality, secrets, simhash)
+_MODULES = (pii, chat, quality, secrets, mixing, simhash)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
