@@ -49,51 +49,6 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("w") * F.col("level")), F.col("cap")).alias("target"))
 
 
-def level_flight(size: list[int], p: float, u: list[float]) -> list[float]:
-    """A flight from equal probabilities p over documents in descending size; at most the two shortest stay undecided.
-
-    Each step moves the longest open document along the null-space direction that spreads its change over all shorter
-    ones as a + b * size, so that documents and words both stay balanced. As long as all start at p, two numbers hold
-    every open document's probability, and only the longest and the shortest can meet an edge first.
-    """
-    out = [p] * len(size)
-    lo, hi, a, b = 0, len(size), 0.0, 0.0
-    n, s1, s2 = len(size), sum(size), sum(s * s for s in size)
-    own: float | None = None  # of document lo, once it has moved by itself
-    at = lambda j: p + a + b * size[j]
-    while hi - lo > 2:
-        q, s = at(lo) if own is None else own, size[lo]
-        m, t1, t2 = n - 1, s1 - s, s2 - s * s  # the shorter ones
-        det = m * t2 - t1 * t1
-        if det > 0:
-            da, db = (s * t1 - t2) / det, (t1 - s * m) / det
-        else:  # they are of one size: balance words alone
-            da, db = (-s / t1 if t1 else 0.0), 0.0
-        up, down = 1 - q, q
-        for j in (lo + 1, hi - 1):
-            if (d := da + db * size[j]) > 0:
-                up, down = min(up, (1 - at(j)) / d), min(down, at(j) / d)
-            elif d < 0:
-                up, down = min(up, at(j) / -d), min(down, (1 - at(j)) / -d)
-        up, down = max(up, 0.0), max(down, 0.0)
-        by = up if u[lo] * (up + down) < down else -down
-        u[lo] = (u[lo] * 16807 + 0.618) % 1.0
-        own, a, b = q + by, a + by * da, b + by * db
-        if not _EPS < own < 1 - _EPS or up + down < _EPS:
-            out[lo], lo, n, s1, s2, own = float(own >= 0.5), lo + 1, m, t1, t2, None
-        first = lo + (own is not None)
-        while hi > first and not _EPS < at(hi - 1) < 1 - _EPS:
-            hi -= 1
-            out[hi], n, s1, s2 = float(at(hi) >= 0.5), n - 1, s1 - size[hi], s2 - size[hi] * size[hi]
-        while own is None and hi > lo and not _EPS < at(lo) < 1 - _EPS:
-            out[lo], n, s1, s2, lo = float(at(lo) >= 0.5), n - 1, s1 - size[lo], s2 - size[lo] * size[lo], lo + 1
-        if own is not None and hi == first:
-            break
-    for j in range(lo, hi):
-        out[j] = min(1.0, max(0.0, own if j == lo and own is not None else at(j)))
-    return out
-
-
 def _step(p: list[float], x: list[list[float]], u: float) -> None:
     """Moves the probabilities p of three documents along the null space of their two constraints, in place."""
     (a1, b1), (a2, b2), (a3, b3) = x
@@ -151,7 +106,7 @@ def _fly(last: bool):
         # the shortest fly last, so that little is left to land; the order doesn't change any probability
         rows = rows.sort_values(["size", "key"], ascending=[False, True], kind="stable")
         p, size, u = rows["p"].tolist(), rows["size"].tolist(), rows["u"].tolist()
-        p = level_flight(size, p[0], u) if p and min(p) == max(p) and _EPS < p[0] < 1 - _EPS else flight(p, size, u)
+        p = flight(p, size, u)
         return rows.assign(p=landing(p, size) if last else [round(x) if not _EPS < x < 1 - _EPS else x for x in p])
 
     return run
