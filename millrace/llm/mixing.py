@@ -3,10 +3,10 @@
 A source's target over its size is the mean number of copies of its documents. The whole part is taken of every
 document; the fraction is an inclusion probability. The flight phase of the cube method moves the probabilities
 along the null space of the balancing constraints (documents and words of the source) until all but a few are 0 or 1;
-long documents are decided first, so that only short ones are left.
+long documents fly first.
 Flights run in blocks of about `block` documents of one source; what a block leaves undecided (at most as many
 documents as there are constraints) flies again with the rest of up to `block` blocks, and so on, until one block a
-source is left. There the landing problem decides the last few documents.
+source is left. There a few documents of all sizes don't fly; with the last open ones they are the landing problem.
 
 Scale: texts are read once, to count words; then only ids and numbers move. A source with a third of all documents is
 cut into blocks like any other. Blocks and the order within them come from hashes of the rows, so reruns agree.
@@ -14,8 +14,7 @@ cut into blocks like any other. Blocks and the order within them come from hashe
 
 from __future__ import annotations
 
-from itertools import product
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from .common import WORD, kept, table
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 _EPS = 1e-9
+#: Documents that the last block keeps for the landing; with the two that a flight leaves open, 2^14 choices are weighed
+LANDED = 12
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
@@ -88,26 +89,35 @@ def flight(p: list[float], size: list[float], u: list[float]) -> list[float]:
     return out
 
 
-def landing(p: list[float], size: list[float]) -> list[float]:
+def landing(p: list[float], size: list[int]) -> list[float]:
     """Decides the last documents so that their words, then their number, come nearest to what is expected."""
     open_at = [i for i, q in enumerate(p) if 0 < q < 1]
     if not open_at:
         return p
-    words, docs = sum(p[i] * size[i] for i in open_at), sum(p[i] for i in open_at)
-    best = min(product((0.0, 1.0), repeat=len(open_at)), key=lambda c: (abs(sum(v * size[i] for v, i in zip(c, open_at, strict=True)) - words), abs(sum(c) - docs), c))
+    sizes, probs = np.array([size[i] for i in open_at], float), np.array([p[i] for i in open_at])
+    choices = (np.arange(1 << len(open_at))[:, None] >> np.arange(len(open_at))) & 1
+    words, docs = np.abs(choices @ sizes - probs @ sizes).round(6), np.abs(choices.sum(axis=1) - probs.sum())
+    best = choices[np.lexsort((docs, words))[0]]
     out = list(p)
     for i, v in zip(open_at, best, strict=True):
-        out[i] = v
+        out[i] = float(v)
     return out
 
 
 def _fly(last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # the shortest fly last, so that little is left to land; the order doesn't change any probability
         rows = rows.sort_values(["size", "key"], ascending=[False, True], kind="stable")
         p, size, u = rows["p"].tolist(), rows["size"].tolist(), rows["u"].tolist()
-        p = flight(p, size, u)
-        return rows.assign(p=landing(p, size) if last else [round(x) if not _EPS < x < 1 - _EPS else x for x in p])
+        if not last:
+            p = [round(x) if not _EPS < x < 1 - _EPS else x for x in flight(p, size, u)]
+            return rows.assign(p=[float(x) for x in p])
+        # a few documents of all sizes wait for the landing, which balances what the flight leaves open
+        open_at = [i for i, q in enumerate(p) if _EPS < q < 1 - _EPS]
+        waits = set(open_at[:: max(1, -(-len(open_at) // LANDED))])
+        fly = [i for i in range(len(p)) if i not in waits]
+        for i, q in zip(fly, flight([p[i] for i in fly], [size[i] for i in fly], [u[i] for i in fly]), strict=True):
+            p[i] = q if _EPS < q < 1 - _EPS else float(round(q))
+        return rows.assign(p=landing(p, size))
 
     return run
 
