@@ -2,5 +2,170 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import bitmap, exchange
+from .operators import relational as rel
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
+
+        QUERIES[f.__name__], ORACLES[f.__name__] = run, sql
+        return f
+
+    return add
+
+
+@query("SELECT min(l_quantity) AS min_quantity, max(l_extendedprice) AS max_price, CAST(sum(l_linenumber) AS BIGINT) AS sum_line FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey BETWEEN 100 AND 900 AND l_quantity BETWEEN 10 AND 20 HAVING count(*) > 0")
+def flagship(t):
+    kept = rel.prune(rel.chunk_stats(t("orders"), F.expr("o_orderkey div 1000"), ["o_orderkey"]), {"o_orderkey": (100, 900)})
+    orders = t("orders").withColumn("chunk", F.expr("o_orderkey div 1000")).join(kept, "chunk", "left_semi")
+    orders = rel.in_ranges(orders, {"o_orderkey": (100, 900)}).select("o_orderkey")
+    lines = rel.in_ranges(t("lineitem"), {"l_quantity": (10, 20)}).select("l_orderkey", "l_quantity", "l_extendedprice", "l_linenumber")
+    return rel.aggregate(rel.hash_join(orders, lines, "o_orderkey", "l_orderkey"), min_quantity=("min", "l_quantity"), max_price=("max", "l_extendedprice"), sum_line=("sum", "l_linenumber"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer")
+def scan_project(t):
+    return t("customer").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount BETWEEN 0.05 AND 0.07")
+def filter_conjunctive_range(t):
+    return rel.in_ranges(t("lineitem"), {"l_quantity": (10.0, 20.0), "l_discount": (0.05, 0.07)}).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def filter_equality(t):
+    return rel.in_ranges(t("orders"), {"o_orderstatus": ("F", "F")}).select("o_orderkey")
+
+
+_CHUNKS = "SELECT o_orderkey // 1000 AS chunk, min(o_custkey) AS min_o_custkey, max(o_custkey) AS max_o_custkey, min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice FROM orders GROUP BY 1"
+
+
+@query(_CHUNKS)
+def chunk_stats(t):
+    return rel.chunk_stats(t("orders"), F.expr("o_orderkey div 1000"), ["o_custkey", "o_totalprice"])
+
+
+@query(f"SELECT chunk FROM ({_CHUNKS}) WHERE 3 BETWEEN min_o_custkey AND max_o_custkey")
+def prune_eq(t):
+    return rel.prune(chunk_stats(t), {"o_custkey": (3, 3)})
+
+
+@query(f"SELECT chunk FROM ({_CHUNKS}) WHERE min_o_totalprice <= 1200 AND max_o_totalprice >= 900")
+def prune_range(t):
+    return rel.prune(chunk_stats(t), {"o_totalprice": (900.0, 1200.0)})
+
+
+@query("SELECT min(l_quantity) AS lo, max(l_extendedprice) AS hi, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem")
+def agg_global(t):
+    return rel.aggregate(t("lineitem"), lo=("min", "l_quantity"), hi=("max", "l_extendedprice"), total=("sum", "l_linenumber"))
+
+
+@query("SELECT CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem WHERE l_quantity < 0 HAVING count(*) > 0")
+def agg_empty(t):
+    return rel.aggregate(t("lineitem").where("l_quantity < 0"), total=("sum", "l_linenumber"))
+
+
+_JOIN = "SELECT o_orderkey, o_custkey, l_partkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+
+
+@query(_JOIN)
+def hash_join_unique(t):
+    return rel.hash_join(t("orders").select("o_orderkey", "o_custkey"), t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "o_orderkey", "l_orderkey").drop("l_orderkey")
+
+
+@query(_JOIN)
+def join_replication(t):
+    return rel.replication_join(t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), t("orders").select("o_orderkey", "o_custkey"), "l_orderkey", "o_orderkey").drop("l_orderkey")
+
+
+def _dup(order: str) -> str:
+    return f"SELECT s_suppkey, c_custkey FROM supplier JOIN (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey {order}) AS r FROM customer) ON r = 1 AND c_nationkey = s_nationkey"
+
+
+def _by_nation(t, which):
+    return rel.hash_join(t("customer").select("c_nationkey", "c_custkey"), t("supplier").select("s_suppkey", "s_nationkey"), "c_nationkey", "s_nationkey", duplicates=which, seq="c_custkey").select("s_suppkey", "c_custkey")
+
+
+@query(_dup("DESC"))
+def hash_join_last(t):
+    return _by_nation(t, "last")
+
+
+@query(_dup("ASC"))
+def radix_join_first(t):
+    return _by_nation(t, "first")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 1000)")
+def semi_join_reduction(t):
+    return rel.semi_join_reduction(t("customer").select("c_custkey"), t("orders").where("o_totalprice > 1000"), "c_custkey", "o_custkey")
+
+
+_HISTOGRAM = "SELECT o_custkey & 31 AS bucket, count(*) AS n FROM orders GROUP BY 1"
+
+
+@query(_HISTOGRAM)
+def radix_histogram(t):
+    return exchange.histogram(t("orders"), F.col("o_custkey").bitwiseAND(F.lit(31)))
+
+
+@query(f"SELECT bucket, n, CAST(coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_place FROM ({_HISTOGRAM})")
+def radix_offsets(t):
+    return exchange.offsets(radix_histogram(t))
+
+
+@query("SELECT (((o_orderkey - 7000) % 8) + 8) % 8 AS bucket, count(*) AS n FROM orders GROUP BY 1")
+def repartition_pmod(t):
+    return exchange.histogram(t("orders"), exchange.modulo(F.col("o_orderkey") - 7000, 8))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS misplaced")
+def exchange_placement(t):
+    placed = exchange.repartitioned(t("orders").select("o_orderkey"), "o_orderkey", 8)
+    seen = placed.withColumn("at", F.spark_partition_id())
+    return seen.agg(F.count_if(F.col("at") != exchange.modulo(F.col("o_orderkey"), 8)).alias("misplaced"))
+
+
+@query("SELECT n_nationkey, CAST(peer AS INTEGER) AS peer FROM nation, range(4) AS r(peer)")
+def replicate_rows(t):
+    return exchange.replicated(t("nation").select("n_nationkey"), 4)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey DESC) AS rank FROM part")
+def sort_ties_reversed(t):
+    return rel.ranked(t("part").select("p_partkey", "p_size"), F.col("p_size"), F.col("p_partkey").desc(), buckets=F.col("p_size")).select("p_partkey", "rank")
+
+
+@query("SELECT user_id, max_by(event_id, event_id) AS event_id FROM events GROUP BY 1")
+def btree_upsert(t):
+    return rel.upserted(t("events"), "user_id", "event_id", "event_id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 10 AND 90")
+def btree_range(t):
+    return rel.in_ranges(t("orders"), {"o_orderkey": (10, 90)}).select("o_orderkey", "o_custkey").orderBy("o_orderkey")
+
+
+@query("SELECT p_partkey AS row_id FROM part WHERE p_size BETWEEN 40 AND 80")
+def bitmap_naive_range(t):
+    return bitmap.row_ids(bitmap.lookup(bitmap.naive(t("part"), "p_size", "p_partkey"), 40, 80))
+
+
+@query("SELECT p_partkey AS row_id FROM part WHERE p_size BETWEEN 3 AND 9")
+def bitmap_range_encoded(t):
+    return bitmap.row_ids(bitmap.range_encoded_lookup(bitmap.naive(t("part"), "p_size", "p_partkey"), 3, 9))
+
+
+@query("SELECT p_partkey AS row_id FROM part WHERE p_size BETWEEN 7 AND 33")
+def bitmap_decomposed(t):
+    return bitmap.row_ids(bitmap.decomposed_lookup(bitmap.decomposed(t("part"), "p_size", "p_partkey", 5, 50), 7, 33, 5, 50))
