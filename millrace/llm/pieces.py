@@ -11,7 +11,8 @@ the merges give. Runs of marks are merged directly, as such pieces share one pri
 Characters that no piece holds become their bytes.
 
 Scale: rows never move. The model (a vocabulary file, at most MAX_PIECES pieces) is read once on the driver and sent
-with the task. Known words are kept between batches up to MAX_WORDS, then dropped and found anew.
+with the task. Each Python worker remembers words and pairs of pieces across batches and tasks, within MAX_WORDS and
+MAX_PAIRS; what is forgotten is found anew, so neither bound changes a result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MAX_PIECES, MAX_WORDS, MAX_PAIRS = 1_000_000, 200_000, 2_000_000
+MAX_PIECES, MAX_WORDS, MAX_PAIRS = 1_000_000, 600_000, 500_000
 MERGE, UNIGRAM = "merge", "unigram"
 
 
@@ -52,6 +53,7 @@ class Model:
         inside = "".join(map(re.escape, alone))
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.words = re.compile("(?s).+" if crossing else f"{MARK}+[^{MARK}{inside}]*|[^{MARK}{inside}]+" + (f"|[{inside}]" if alone else ""))
+        self.digest = hashlib.sha256(repr((kind, pieces, scores, byte_ids)).encode()).hexdigest()
         self._pairs: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -91,17 +93,15 @@ class Model:
         return [p for p in part if p]
 
     def _fits(self, a: str, b: str) -> bool:
-        found = self._pairs.get((a, b))
-        if found is None:
-            if len(self._pairs) >= MAX_PAIRS:
-                self._pairs.clear()
-            found = self._pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        if len(self._pairs) >= MAX_PAIRS:
+            self._pairs.clear()
+        found = self._pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
     def encode_words(self, words: Iterator[str]) -> dict[str, list[int]]:
         """The ids of each distinct word, by one depth-first pass over the trie of all of them."""
         out, last = {}, ""
-        ids, longest, viterbi = self.ids, self.longest, self.kind == UNIGRAM
+        ids, longest, viterbi, pairs = self.ids, self.longest, self.kind == UNIGRAM, self._pairs
         score, start = [0.0], [0]  # of the prefix of each length: its best score and where its last piece starts
         for w in sorted(words):
             if not viterbi and w.startswith(MARK * 2):
@@ -113,14 +113,17 @@ class Model:
                 best, at = float("-inf"), end - 1
                 for j in range(max(0, end - longest), end):
                     piece = w[j:end]
-                    k = ids.get(piece)
                     if viterbi:
+                        k = ids.get(piece)
                         s = score[j] + (self.scores[k] if k is not None else self.unknown if j == end - 1 else float("-inf"))
                         if s > best:
                             best, at = s, j
-                    elif (k is not None or j == end - 1) and self._fits(w[start[j] : j], piece):
-                        best, at = 0.0, j
-                        break
+                    elif piece in ids or j == end - 1:
+                        before = w[start[j] : j]
+                        fits = pairs.get((before, piece))
+                        if self._fits(before, piece) if fits is None else fits:
+                            best, at = 0.0, j
+                            break
                 score.append(best)
                 start.append(at)
             parts, end = [], len(w)
@@ -142,6 +145,42 @@ class Model:
         return raw[1 if raw[:1] == b" " else 0 :].decode(errors="replace")
 
 
+class Memory:
+    """The ids of words met before, as int32 bytes: the latest half of the bound and the half before it."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids_of(self, words: set[str], model: Model) -> dict[str, bytes]:
+        """The ids of the words; those not remembered are encoded in one pass over their trie."""
+        new, old = self.new, self.old
+        found = {w: x for w in words if (x := new.get(w) or old.get(w))}
+        found.update((w, np.array(x, dtype=np.int32).tobytes()) for w, x in model.encode_words(words - found.keys()).items())
+        if len(new) + len(found) > MAX_WORDS // 2:
+            self.old, self.new = new, {}
+        if len(found) <= MAX_WORDS // 2:
+            self.new.update(found)
+        return found
+
+
+#: What this Python worker remembers of the last model that it used
+_memory: dict[str, tuple[Memory, dict[tuple[str, str], bool]]] = {}
+
+
+def _remembered(model: Model) -> Memory:
+    if model.digest not in _memory:
+        _memory.clear()
+        _memory[model.digest] = Memory(), model._pairs
+    memory, model._pairs = _memory[model.digest]
+    return memory
+
+
+def _numbers(lists: pa.ListArray) -> list[list[int]]:
+    values, ends = lists.values.to_numpy().tolist(), lists.offsets.to_pylist()
+    return [values[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *, model_path: str = MODEL, carry: tuple[str, ...] | None = None) -> DataFrame:
     """The columns `carry` of df (all, if None) and out_col: array<int> with the ids of the whole text.
 
@@ -154,18 +193,15 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *,
     kinds = ", ".join(f"_c{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        memory = _remembered(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 texts = [model.split(t) for t in b.column("_text").to_pylist()]
-                if len(known) > MAX_WORDS:
-                    known.clear()
-                new = {w for t in texts for w in t if w not in known}
-                known.update((w, np.array(x, dtype=np.int32)) for w, x in model.encode_words(new).items())
-                found = [np.concatenate([known[w] for w in t]) if t else np.empty(0, np.int32) for t in texts]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                known = memory.ids_of({w for t in texts for w in t}, model)
+                found = [b"".join(map(known.__getitem__, t)) for t in texts]
+                ends = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], lists], names=[*b.schema.names[: len(columns)], "_ids"])
 
     out = rows.mapInArrow(run, ", ".join(x for x in (kinds, "_ids array<int>") if x))
@@ -190,7 +226,7 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [x.as_py() for x in b.column("token_ids")]
+            ids = _numbers(b.column("token_ids"))
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
             columns = [b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(sha(",".join(map(str, x))) for x in ids), pa.array(sha(model.decode(x)) for x in ids)]
             yield pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2].cast(pa.string()), columns[3].cast(pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256"])
