@@ -30,10 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, on_row, row_key, sized, table
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from .common import kept, row_key, sized, table
 from .components import components
 
 SEED, BITS, FANOUT = 42, 64, 8
+#: MinHash bands of deduplicated(): texts that agree on all rows of one band are compared
+BANDS, ROWS = 20, 6
+_XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -212,25 +217,95 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
     return prints.join(by_print, prints["fp"] == by_print["of"]).select("_id", "_h", "fp", "component")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, max_bits: int = 3, max_broadcast: int = 500_000) -> DataFrame:
-    """df's rows without near-duplicates: of each class the row with the smallest (id, hash of text) stays, once."""
-    found = kept(classes(df, id_col, text_col, shingle=shingle, max_bits=max_bits))
-    # a class is named by its smallest id; only the rest needs the other columns
-    extra = found.where(~F.col("_id").eqNullSafe(F.col("component"))).select("_id", "_h")
-    ties = found.where(F.col("_id").eqNullSafe(F.col("component"))).groupBy("_id").agg(F.count("*").alias("n"), F.min("_h").alias("first")).where("n > 1")
-    ties = kept(ties)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = {"_mr_id": F.col(id_col), "_mr_h": F.xxhash64(text)}
-    rows = df.withColumns(keys)
-    again = found.where(F.col("_id").eqNullSafe(F.col("component"))).join(ties, "_id").where("_h <> first").select(found["_id"], "_h")
-    extra = kept(extra.unionByName(again).distinct())
-    extra = sized(extra, extra.count(), max_broadcast)
-    rows = rows.join(extra, rows["_mr_id"].eqNullSafe(extra["_id"]) & (rows["_mr_h"] == extra["_h"]), "left_anti")
-    if not ties.isEmpty():  # ids that repeat: rows with the same id and text are one row
-        few = F.broadcast(ties.select(F.col("_id").alias("_mr_t"))) if ties.count() <= max_broadcast else ties.select(F.col("_id").alias("_mr_t"))
-        twice = rows.join(few, rows["_mr_id"] == few["_mr_t"], "left_semi").dropDuplicates(["_mr_id", "_mr_h"])
-        rows = rows.join(few, rows["_mr_id"] == few["_mr_t"], "left_anti").unionByName(twice)
-    return rows.drop(*keys)
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; a text of fewer words is one shingle, one without words has none."""
+    words = text.translate(_LOWER).split()
+    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), runs), dtype="<u8")) if words else np.empty(0, dtype="<u8")
+
+
+def _band_keys(shingles: np.ndarray) -> list[int]:
+    """A key for each band of a text's MinHash signature, as signed longs."""
+    least = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, dtype="<u8")
+    for i in range(0, len(shingles), 1 << 12):
+        least = np.minimum(least, ((shingles[i : i + (1 << 12)] ^ _XOR) * _ODD).min(axis=1, keepdims=True))
+    raw = least.tobytes()
+    keys = [xxhash.xxh64_intdigest(raw[b * 8 * ROWS : (b + 1) * 8 * ROWS], seed=b) for b in range(BANDS)]
+    return [k - (1 << BITS) if k >> (BITS - 1) else k for k in keys]
+
+
+def _sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """df with _row (a number of its own), _h, fp, the shingle set's hash `node`, its hashes and its band keys."""
+    rows = df.withColumns({"_h": F.xxhash64(F.coalesce(text_col, F.lit(""))), "_t": F.encode(F.coalesce(text_col, F.lit("")), "utf-8")})
+    out = StructType([*rows.schema.fields[:-1], *(StructField(n, t) for n, t in (("fp", LongType()), ("node", LongType()), ("shingles", ArrayType(LongType())), ("keys", ArrayType(LongType()))))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, node, held, keys = [], [], [], []
+            for x in batch.column("_t"):
+                text = x.as_py()
+                found = _shingles(text, shingle)
+                fp.append(fingerprint(text, shingle))
+                node.append(int(np.array([xxhash.xxh64_intdigest(found.tobytes())], dtype="<u8").view("<i8")[0]))
+                held.append(found.view("<i8"))
+                keys.append(_band_keys(found) if len(found) else [])
+            more = [pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=out.names)
+
+    return kept(rows.mapInArrow(run, out).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, max_broadcast: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity."""
+    pairs = kept(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    held = kept(sets.join(sized(asked, asked.count(), max_broadcast), "node", "left_semi").select("node", "shingles"))
+    both = pairs.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return kept(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
+
+
+def _groups(rows: DataFrame, similarity: float, max_bits: int, max_broadcast: int) -> DataFrame:
+    """(node, label) for the shingle sets that are linked to another one, by Jaccard similarity."""
+    one = kept(rows.groupBy("node").agg(F.min("_row").alias("_row")))
+    many = one.count()
+    sets = rows.join(sized(one.select("_row"), many, max_broadcast), "_row", "left_semi")
+    keyed = sets.select("node", F.explode("keys").alias("key"))
+    least = kept(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
+    members = kept(keyed.join(sized(least, least.count(), max_broadcast), "key").where("node <> least"))
+    of_print = kept(sets.groupBy("fp").agg(F.min("node").alias("least")))
+    near = links(of_print.select("fp"), of_print.count(), max_bits)
+    near = near.join(of_print.toDF("a", "na"), "a").join(of_print.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    equal = sets.select("fp", "node").join(of_print, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    sure = _alike(members.select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(near).unionByName(equal), sets, similarity, max_broadcast)
+    found = kept(components(sure))
+    # a bucket's members were compared with its smallest one; what that has not joined is compared pair by pair
+    named = kept(members.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    named = kept(named.join(open_, "key", "left_semi"))
+    a, b = named.toDF("key", "a", "la"), named.toDF("key", "b", "lb")
+    rest = a.join(b, "key").where("a < b AND la <> lb").select("a", "b")
+    return components(sure.unionByName(_alike(rest, sets, similarity, max_broadcast)))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, max_bits: int = 3, max_broadcast: int = 500_000) -> DataFrame:
+    """df's rows without near-duplicates: of each class the row with the smallest (id, hash of text) stays, once.
+
+    Two texts are linked if the Jaccard similarity of their sets of `shingle` words is at least `similarity`; a class
+    is what links reach. Candidates are texts that share a band of their MinHash signature or whose fingerprints link
+    within max_bits; each is confirmed by the exact similarity. A band is missed with the probability
+    (1 - s^ROWS)^BANDS, 0.2 % at s = 0.8. Null texts count as empty, and all texts without words are one class. A null
+    id comes after all others.
+    """
+    plain = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    rows = _sets(df.select(*(F.col(f"`{c}`").alias(n) for c, n in plain.items())), plain[text_col], shingle)
+    groups = kept(_groups(rows, similarity, max_bits, max_broadcast))
+    of = rows.select("_row", F.col(plain[id_col]).alias("_id"), "_h", "node").join(sized(groups, groups.count(), max_broadcast), "node", "left")
+    of = kept(of.select("_row", "_id", "_h", F.coalesce("label", "node").alias("label")))
+    first = of.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_h", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = kept(first.select("label", F.col("first._row").alias("stays")))
+    extra = kept(of.join(sized(first, first.count(), max_broadcast), "label").where("_row <> stays").select("_row"))
+    return rows.join(sized(extra, extra.count(), max_broadcast), "_row", "left_anti").select(*(F.col(n).alias(c) for c, n in plain.items()))
 
 
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -53,6 +53,37 @@ def test_hot_nodes_lose_no_link(spark):
     assert len(pairs) == len(set(want)) == len({b for _, b in pairs})
 
 
+def shingle_sets(text: str) -> set:
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_dedup_finds_planted_edits(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows, near, far = [], set(), set()
+    for i in range(240):
+        base = rng.choices(words, k=rng.choice([60, 150, 400]))
+        edited = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.choice([0.005, 0.01, 0.02, 0.04, 0.1])))):
+            edited[at] = rng.choice(words) + "x"
+        a, b = shingle_sets(" ".join(base)), shingle_sets(" ".join(edited))
+        (near if len(a & b) / len(a | b) >= 0.8 else far).add(1000 + i)
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(edited))]
+    left = {r[0] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(240)) | far <= left
+    assert len(near) > 80 and len(far) > 60
+    assert len(near & left) <= len(near) * 0.01
+
+
+def test_dedup_compares_members_of_a_bucket(spark):
+    # a chain: each text is near its neighbours only, and all of it is one class
+    base = [f"v{i}" for i in range(400)]
+    rows = [(k, " ".join(["y%d" % i if i < 14 * k else w for i, w in enumerate(base)])) for k in range(12)]
+    left = [r[0] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert left == [0]
+
+
 def test_forgotten_words_get_the_same_ids(monkeypatch):
     model, memory = pieces.Model.load(), pieces.Memory()
     monkeypatch.setattr(pieces, "MAX_WORDS", 8)
