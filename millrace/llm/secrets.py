@@ -34,6 +34,15 @@ RULES = {
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
 }
 BASE = ("assign", "access", "hex")
+_SKIP = r"""(?:[\s"'+,#>*;|]|\\[nrt])*+"""
+#: What redacted() takes out: as RULES, but a private key with its body, up to the END line; without one before the
+#: next BEGIN or END, up to where its header lines and runs of base64 end (a short run only as a whole line).
+REDACTED = RULES | {
+    "private_key": RULES["private_key"]
+    + r"(?:(?:(?!-----(?:BEGIN|END)\x20)[\s\S])*+-----END\x20[A-Z ]*PRIVATE KEY-----"
+    + rf"|(?:{_SKIP}(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:{_SKIP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+    + r"(?:(?<=[A-Za-z0-9+/])\s*\n\s*[A-Za-z0-9+/]{1,15}={0,2}(?=[\x20\t\r]*(?![^\n])))?+(?:\s*+-----END\x20[A-Z ]*-----)?+)"
+}
 #: rule: (group, characters it must have at least)
 SHORTEST = {"assign": (2, 6)}
 
@@ -174,13 +183,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules
     return _found(rows, rules, shortest, max_broadcast).select("doc_id", "text", "secrets")
 
 
-def redacted(df: DataFrame, text_col: str = "text", *, rules: dict[str, str] = RULES, shortest: dict[str, tuple[int, int]] = SHORTEST, max_broadcast: int = 500_000) -> DataFrame:
-    """df's rows and columns with each secret replaced by [kind]; of overlapping spans the first wins. Null texts stay null."""
+def redacted(df: DataFrame, text_col: str = "text", *, rules: dict[str, str] = REDACTED, shortest: dict[str, tuple[int, int]] = SHORTEST, max_broadcast: int = 500_000) -> DataFrame:
+    """df's rows and columns with each secret replaced by [kind]; overlapping spans go as one, by the first's kind. Null texts stay null."""
     plain = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in plain.items()))
     text = F.col(plain[text_col])
     rows = rows.withColumns({"text": F.coalesce(text, F.lit("")), "_h": F.xxhash64(text), "_id": F.xxhash64(*(n for n in plain.values() if n != plain[text_col]), F.lit(0))})
-    step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out")))
+    step = lambda acc, s: F.when(
+        s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+    ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out")))
     done = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)).otherwise(text)
     return _found(rows, rules, shortest, max_broadcast).select(*((clean if c == text_col else F.col(n)).alias(c) for c, n in plain.items()))
