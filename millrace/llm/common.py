@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,17 +61,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def found_spans(values: Column, gaps: Column) -> Column:
+def found_spans(values: Column, gaps: Column, good: Callable[[Column], Column] | None = None) -> Column:
     """Spans of a regex's matches as array<struct<start, end, value>>, in code points with the end exclusive.
 
     values: regexp_extract_all(text, regex, 0). gaps: split(text, regex, -1), the texts between those matches.
-    Both run the same matcher, so gap i stands right before value i.
+    Both run the same matcher, so gap i stands right before value i. good: which values to return, all without it.
     """
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     start = lambda acc, x: acc["at"] + F.length(x["g"])
+    grown = lambda acc, x: F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["v"])).alias("end"), x["v"].alias("value"))))
     step = lambda acc, x: F.struct(
         (start(acc, x) + F.length(x["v"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["v"])).alias("end"), x["v"].alias("value")))).alias("out"),
+        (F.when(good(x["v"]), grown(acc, x)).otherwise(acc["out"]) if good else grown(acc, x)).alias("out"),
     )
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("g"), values.alias("v"))
     folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])

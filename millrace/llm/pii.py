@@ -12,8 +12,10 @@ a term discloses PMI(c;t) = log2(p(c,t) / (p(c) p(t))) of the entity's informati
 reach `threshold` of IC(c), and stand in at least `min_support` distinct windows of c, become spans of kind
 `term`: generalised if a taxonomy names a broader term, else removed.
 
-Scale: texts are never shuffled. One scan finds the spans; only windows (a few dozen characters around an entity)
-and term counts move. Counts are combined before the shuffle, so frequent words cost one row per task.
+Windows only estimate co-occurrence: a disclosing term is marked wherever it stands in a text that holds its entity.
+
+Scale: texts move only if more of them hold disclosing terms than `max_broadcast`. Else windows (a few dozen
+characters around an entity), term counts and the texts' disclosing terms move. Counts are combined before the shuffle, so frequent words cost one row per task.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest_text, kept, on_row, spans_of, table
+from .common import digest_text, found_spans, kept, on_row, sized, spans_of, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A match can only start where a run of its first characters starts, or where the last match ended; possessive
@@ -80,20 +82,31 @@ def _windows(base: Column, text: Column, width: int) -> tuple[Column, Column]:
     return ordered, F.transform(F.col("_ordered"), window)
 
 
+def _without(base: Column, text: Column) -> Column:
+    """The text with spaces in place of its base spans, so that no term reaches into one."""
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))).alias("out"),
+    )
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def context_terms(df: DataFrame, text: str, width: int) -> DataFrame:
-    """(_id, _h, entity, window, term, start, end): the whole terms around each base span; window names its text."""
+    """(_id, _h, entity, window, term, start, end): the whole terms around each base span, or one null term; window names its text."""
     ordered, windows = _windows(F.col("base"), F.col(text), width)
     rows = df.withColumn("_ordered", ordered).select("_id", "_h", F.explode(windows).alias("w")).select("_id", "_h", "w.*")
     rows = spans_of(spans_of(rows, "l", {"lt": (TERM, None)}), "r", {"rt": (TERM, None)})
     left = F.filter("lt", lambda s: ~F.col("l_cut") | (s["start"] > 0))
     right = F.filter("rt", lambda s: ~F.col("r_cut") | (s["end"] < F.length("r")))
     moved = lambda spans, at: F.transform(spans, lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
-    rows = rows.select("_id", "_h", "entity", F.xxhash64("l", "r").alias("window"), F.explode(F.concat(moved(left, F.col("l_at")), moved(right, F.col("r_at")))).alias("t"))
+    rows = rows.select("_id", "_h", "entity", F.xxhash64("l", "r").alias("window"), F.explode_outer(F.concat(moved(left, F.col("l_at")), moved(right, F.col("r_at")))).alias("t"))
     return rows.select("_id", "_h", "entity", "window", "t.*")
 
 
 def disclosures(context: DataFrame, texts: DataFrame, text: str, threshold: float, min_support: int, window_terms: int) -> DataFrame:
     """(entity, term, ratio) of the terms that disclose at least `threshold` of an entity's information."""
+    context = context.where("term IS NOT NULL")
     # one window for each text: neither copies of a text nor repeats within it are evidence
     once = lambda *by: context.groupBy(*by, "_h").agg(F.min("window").alias("window")).select(*by, "window").distinct().groupBy(*by)
     joint = once("entity", "term").agg(F.count("*").alias("f_ct")).where(F.col("f_ct") >= min_support)
@@ -108,9 +121,11 @@ def disclosures(context: DataFrame, texts: DataFrame, text: str, threshold: floa
     return joint.join(alone, "entity").join(counts, "term").where(F.col("f_c") < total).withColumn("ratio", ratio).where(F.col("ratio") >= threshold).select("entity", "term", "ratio")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 64, threshold: float = 0.5, min_support: int = 2, window_terms: int = 16, taxonomy: DataFrame | None = None) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 64, threshold: float = 0.5, min_support: int = 2, window_terms: int = 16, taxonomy: DataFrame | None = None, max_broadcast: int = 200_000) -> DataFrame:
     """Each row's `doc_id`, `text`, `base` spans and `terms`: array<struct<kind, start, end, replacement>>.
 
+    A text's terms are all occurrences, outside base spans, of the terms that disclose one of its entities.
+
     taxonomy: (term, general), one broader term each; without one a disclosing term is removed.
     Null texts count as empty; null or repeated ids keep their rows, and equal rows get equal results. An empty
     table gives an empty result. Other columns of df are ignored, whatever their names. An entity seen in fewer
@@ -120,16 +135,22 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
     rows = base_spans(rows, "text").withColumns({"_id": F.col("doc_id"), "_h": F.xxhash64("text")})
     context = kept(context_terms(rows, "text", width))
     strong = disclosures(context, rows, "text", threshold, min_support, window_terms)
-    terms = context.join(strong, ["entity", "term"]).select("_id", "_h", "term", "start", "end").distinct()
     if taxonomy is not None:
-        terms = terms.join(taxonomy.select(F.lower("term").alias("term"), F.col("general")), "term", "left")
+        strong = strong.join(taxonomy.select(F.lower("term").alias("term"), F.col("general")), "term", "left")
     else:
-        terms = terms.withColumn("general", F.lit(None).cast("string"))
-    span = F.struct(F.col("start"), F.col("end"), F.coalesce("general", F.lit("")).alias("replacement"))
-    terms = terms.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(span)).alias("found"))
-    found = F.coalesce(F.col("found"), F.array().cast("array<struct<start:int,end:int,replacement:string>>"))
-    named = F.transform(found, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("replacement")))
-    return rows.join(terms, on_row(rows, terms), "left").select(rows["doc_id"], rows["text"], rows["base"], named.alias("terms"))
+        strong = strong.withColumn("general", F.lit(None).cast("string"))
+    # the disclosing terms of each text that holds their entity, wherever they stand in it
+    holders = context.select("_id", "_h", "entity").distinct()
+    word = F.struct("term", F.coalesce("general", F.lit("")).alias("replacement"))
+    terms = holders.join(strong, "entity").groupBy("_id", "_h").agg(F.map_from_entries(F.collect_set(word)).alias("words"))
+    terms = kept(terms)
+    terms = sized(terms, terms.count(), max_broadcast)
+    rows = rows.join(terms, on_row(rows, terms), "left").select(rows["doc_id"], rows["text"], rows["base"], "words")
+    rows = rows.withColumn("_plain", F.when(F.col("words").isNotNull(), _without(F.col("base"), F.col("text"))))
+    rows = rows.withColumns({"_words": F.regexp_extract_all("_plain", F.lit(TERM), F.lit(0)), "_gaps": F.split("_plain", TERM, -1)})
+    found = found_spans(F.col("_words"), F.col("_gaps"), lambda v: F.map_contains_key("words", F.lower(v)))
+    named = F.transform(found, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.element_at("words", F.lower(s["value"])).alias("replacement")))
+    return rows.select("doc_id", "text", "base", named.alias("terms"))
 
 
 def sanitised(scanned: DataFrame) -> DataFrame:
