@@ -9,8 +9,8 @@ terms reveal them: around each entity the terms of a window are gathered, and wi
     p(c,t) = distinct windows of c that hold t / M
 
 a term discloses PMI(c;t) = log2(p(c,t) / (p(c) p(t))) of the entity's information IC(c) = -log2 p(c). Terms that
-reach `threshold` of IC(c), and stand in at least `min_support` distinct windows of c, become spans of kind
-`term`: generalised if a taxonomy names a broader term, else removed.
+reach `threshold` of IC(c) become spans of kind `term`; one window of c is evidence enough, as most entities stand in
+one text only (a larger `min_support` asks for that many distinct windows). Terms are generalised if a taxonomy names a broader term, else removed.
 
 Windows only estimate co-occurrence: a disclosing term is marked wherever it stands in a text that holds its entity.
 
@@ -121,7 +121,7 @@ def disclosures(context: DataFrame, texts: DataFrame, text: str, threshold: floa
     return joint.join(alone, "entity").join(counts, "term").where(F.col("f_c") < total).withColumn("ratio", ratio).where(F.col("ratio") >= threshold).select("entity", "term", "ratio")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 64, threshold: float = 0.5, min_support: int = 2, window_terms: int = 16, taxonomy: DataFrame | None = None, max_broadcast: int = 200_000) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 64, threshold: float = 0.5, min_support: int = 1, window_terms: int = 16, taxonomy: DataFrame | None = None, max_broadcast: int = 200_000) -> DataFrame:
     """Each row's `doc_id`, `text`, `base` spans and `terms`: array<struct<kind, start, end, replacement>>.
 
     A text's terms are all occurrences, outside base spans, of the terms that disclose one of its entities.

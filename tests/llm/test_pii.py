@@ -23,3 +23,11 @@ def test_terms_are_marked_in_the_whole_text_of_their_entity(spark):
         assert not any(t["start"] < b["end"] and b["start"] < t["end"] for t in r["terms"] for b in r["base"])
     clean = {r["doc_id"]: r["clean_text"] for r in pii.sanitised(pii.scan(rows, min_support=2)).collect()}
     assert "quillon" not in clean[100].lower() and "a@x.com" not in clean[101].lower() and clean[103] == "Quillon without the entity"
+
+
+def test_a_rare_name_beside_a_one_off_email_is_a_term(spark):
+    rows = [(i, "the common words stand in all these texts and say little " * 4) for i in range(40)]
+    rows.append((100, "the common words of Quillon one@x.com say little"))
+    found = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[100]["text"][s["start"] : s["end"]] for s in found[100]["terms"]] == ["Quillon"]
+    assert all(not found[i]["terms"] for i in range(40))
