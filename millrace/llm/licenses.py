@@ -1,7 +1,8 @@
 """License scans by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences at line feeds and after sentence marks; each is normalised to lower-case letters and
-digits with single spaces. Known licence sentences map to identifiers, and a text becomes the sequence of those
+A sentence starts a line or follows a sentence mark, and ends at the end of a line or at a sentence mark; within it
+line feeds, comment marks and other signs part words, but not an empty line. Normalised to lower-case letters and
+digits with single spaces, known licence sentences map to identifiers, and a text becomes the sequence of those
 identifiers, in order. Ordered rules, each a sequence of identifiers, are then matched against that sequence from
 the most specific to the least; what a rule matches is consumed, so a general rule can't claim it again.
 
@@ -56,6 +57,28 @@ RULES = (
     ("CC-BY-NC-4.0", ("ccbync-notice",)),
     ("proprietary", ("reserved",)),
 )
+#: More sentences as licences publish them. The SQL has only those above, cut at each line feed: on one-line notices
+#: it is the same.
+PUBLISHED = SENTENCES | {
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-notice",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3": "gpl3-notice",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-notice",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2": "gpl2-notice",
+} | {
+    f"this {what} is {said}": i
+    for said, i in SENTENCES.items() if said.startswith(("licensed under", "released under"))
+    for what in ("file", "program", "software", "work", "project", "code", "library")
+}
+#: SPDX licence name: identifier
+SPDX = {name: f"spdx-{name}" for name in ("Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "MIT", "GPL-3.0", "GPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
+ALL_RULES = (*RULES, *((name, (i,)) for name, i in SPDX.items()))
+SPDX_LINE = r"SPDX-License-Identifier:[\x20\t]*+[A-Za-z0-9.+()\x20\t-]++"
+SPDX_NAME = r"(?<![A-Za-z0-9.+-])(?:" + "|".join(n.replace(".", r"\.") for n in SPDX) + r")(?=(?:-only|-or-later|\+)?(?![A-Za-z0-9.+-]))"
+#: What parts two words of a sentence: no empty line, and no sentence mark before a space
+GAP = r"(?:[^A-Za-z0-9.!?;:\n]++|\n(?![^A-Za-z0-9\n]*+\n)|[.!?;:]++(?!\s))++"
+START = r"(?:^|\n|[.!?;:][\x20\x09\x0B-\x0D])[^A-Za-z0-9\n]*+"
+END = r"(?:(?=[^A-Za-z0-9\n]*+(?![^\n]))|(?=[^A-Za-z0-9\n]*?[.!?;:]\s))"
 CUT = r"[.!?;:]+[\x20\x09\x0B-\x0D]+|[.!?;:]*\n"
 OTHER = "[^A-Za-z0-9]+"
 
@@ -80,19 +103,41 @@ def matched(sequence: Column, rules: tuple[tuple[str, tuple[str, ...]], ...]) ->
     return F.aggregate(table_of, start, step, lambda acc: acc["found"])
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
+def _sentence_regex(sentences: dict[str, str]) -> str:
+    """All known sentences, those that begin with the same words under one branch."""
+
+    def branch(tails: list[tuple[str, ...]]) -> str:
+        heads: dict[str, list[tuple[str, ...]]] = {}
+        for tail in tails:
+            if tail:
+                heads.setdefault(tail[0], []).append(tail[1:])
+        ways = [word + ("(?![A-Za-z0-9])" if not any(rest) else "") + after(rest) for word, rest in heads.items()]
+        return "|".join(ways)
+
+    def after(rest: list[tuple[str, ...]]) -> str:
+        more = branch(rest)
+        go_on = f"{GAP}(?:{more})" if more else ""
+        if () not in rest:
+            return go_on
+        return f"(?:{go_on}|{END})" if go_on else END
+
+    return f"(?i){START}(?:{branch([tuple(k.split()) for k in sentences])})"
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sentences: dict[str, str] = PUBLISHED, rules: tuple = ALL_RULES) -> DataFrame:
     """(doc_id, sentence_ids, licenses): arrays of the licence sentences in a text's order, and of its licences.
 
-    Null and empty texts have none. Rows are judged one by one, so null and repeated ids keep their rows and equal rows
-    get equal results. An empty table gives an empty result; df's other columns are ignored.
+    An SPDX line gives an identifier for each licence that it names. Null and empty texts have none. Rows are judged
+    one by one, so null and repeated ids keep their rows and equal rows get equal results. An empty table gives an
+    empty result; df's other columns are ignored.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     ids = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
-    # only sentences with as many characters as a known one can be known, which spares most of the work
-    most = max(map(len, sentences), default=0) * 4 + 64
-    parts = F.filter(F.split("_text", CUT, -1), lambda s: F.length(s).between(1, most))
-    known = F.filter(F.transform(parts, normalised), lambda s: s.isin(*sentences))
-    rows = rows.select("doc_id", F.transform(known, lambda s: F.element_at(ids, s)).alias("sentence_ids"))
+    spdx = F.create_map(*(F.lit(x) for pair in SPDX.items() for x in pair))
+    found = F.regexp_extract_all("_text", F.lit(f"{_sentence_regex(sentences)}|{SPDX_LINE}"), F.lit(0))
+    named = lambda m: F.transform(F.regexp_extract_all(m, F.lit(SPDX_NAME), F.lit(0)), lambda n: F.element_at(spdx, n))
+    of = lambda m: F.when(m.rlike("(?i)^SPDX-License-Identifier:"), named(m)).otherwise(F.array(F.element_at(ids, normalised(m))))
+    rows = rows.withColumn("_found", found).select("doc_id", F.flatten(F.transform("_found", of)).alias("sentence_ids"))
     sequence = F.array_join(F.transform("sentence_ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
     none = F.array().cast("array<string>")
     return rows.withColumn("licenses", F.when(F.size("sentence_ids") > 0, matched(sequence, rules)).otherwise(none))
