@@ -84,6 +84,13 @@ def test_dedup_compares_members_of_a_bucket(spark):
     assert left == [0]
 
 
+def test_dedup_with_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, "alone twice"), (None, "alone twice"), (4, "alone twice not"), (4, "alone twice not")]
+    left = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(left) == 4 and set(left) == {(1, a), (1, b), (None, "alone twice"), (4, "alone twice not")}
+
+
 def test_forgotten_words_get_the_same_ids(monkeypatch):
     model, memory = pieces.Model.load(), pieces.Memory()
     monkeypatch.setattr(pieces, "MAX_WORDS", 8)
