@@ -1,30 +1,36 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
 A text's spaces become marks (U+2581) and one mark is put before it. It is cut into marked words where no piece can
-cross. A batch's distinct words are sorted, which lays their trie out depth-first: a word starts from the forward
-states of the prefix that it shares with the word before, and only adds states for the rest.
+cross. A slice's distinct words are sorted, which lays their trie out depth-first: a word starts from the forward
+states of the prefix that it shares with the word before, and only adds states for the rest. An Aho-Corasick
+automaton of all pieces names the pieces that end at each new character.
 
 A forward state of a prefix holds its best score and the last piece on the best path. For a unigram model the score
 is the sum of the pieces' scores. For a merge (BPE) model a path scores 0 if each two neighbours are what merging
 their joined text gives, else minus infinity: exactly one path to each prefix is left, and it is the encoding that
-the merges give. Runs of marks are merged directly, as such pieces share one priority and ties break that rule.
+the merges give. Prefixes of marks alone, whose pieces tie in priority, take their last piece from merging that run.
 Characters that no piece holds become their bytes.
 
 Scale: rows never move. The model (a vocabulary file, at most MAX_PIECES pieces) is read once on the driver and sent
-with the task. Each Python worker remembers words and pairs of pieces across batches and tasks, within MAX_WORDS and
-MAX_PAIRS; what is forgotten is found anew, so neither bound changes a result.
+with the task. Texts are worked off in slices of SLICE bytes, and a longer text in runs of its words. Of a slice its
+distinct words and their ids are held, and of a task at most MAX_PAIRS pairs of pieces; both go with it, and what is
+forgotten is found anew. So the memory of a task doesn't grow with its rows, and with a text's length only by its ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from os.path import commonprefix
+from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +39,12 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MAX_PIECES, MAX_WORDS, MAX_PAIRS = 1_000_000, 600_000, 500_000
+MAX_PIECES, MAX_PAIRS = 1_000_000, 250_000
+#: Bytes of texts that are worked off at a time; characters of a text that is worked off alone, run by run
+SLICE, LONG = 32_000_000, 1_000_000
 MERGE, UNIGRAM = "merge", "unigram"
+#: In place of a piece: the start of a word, and a character that no piece holds
+ROOT, UNKNOWN = -2, -1
 
 
 class Model:
@@ -53,8 +63,30 @@ class Model:
         inside = "".join(map(re.escape, alone))
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.words = re.compile("(?s).+" if crossing else f"{MARK}+[^{MARK}{inside}]*|[^{MARK}{inside}]+" + (f"|[{inside}]" if alone else ""))
-        self.digest = hashlib.sha256(repr((kind, pieces, scores, byte_ids)).encode()).hexdigest()
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.names = pieces
+        self._start()
+
+    def say(self, ids: list[int]) -> str:
+        """The ids, comma-joined."""
+        return ",".join(map(self._said.__getitem__, ids))
+
+    def _start(self) -> None:
+        """What isn't sent with a task: the automaton, and what is remembered of pairs and of runs of marks."""
+        self._pairs: dict[int | tuple[str, int], bool] = {}
+        self._marks: dict[int, int] = {}
+        self._said = list(map(str, range(len(self.names))))
+        self._ends = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self._ends.add_word(p, (i, len(p)))
+        if self.ids:
+            self._ends.make_automaton()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_pairs", "_marks", "_said", "_ends")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._start()
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
@@ -92,49 +124,82 @@ class Model:
                 heappush(heap, x)
         return [p for p in part if p]
 
-    def _fits(self, a: str, b: str) -> bool:
-        if len(self._pairs) >= MAX_PAIRS:
-            self._pairs.clear()
-        found = self._pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return found
-
-    def encode_words(self, words: Iterator[str]) -> dict[str, list[int]]:
-        """The ids of each distinct word, by one depth-first pass over the trie of all of them."""
-        out, last = {}, ""
-        ids, longest, viterbi, pairs = self.ids, self.longest, self.kind == UNIGRAM, self._pairs
-        score, start = [0.0], [0]  # of the prefix of each length: its best score and where its last piece starts
+    def _fits(self, before: str, piece: str) -> bool:
+        return self.merged(before + piece) == ([before, piece] if before else [piece])
+
+    def _last_of_marks(self, n: int) -> int:
+        """Where the last piece starts that merging gives for n marks."""
+        if n not in self._marks:
+            self._marks[n] = n - len(self.merged(MARK * n)[-1])
+        return self._marks[n]
+
+    def encode_words(self, words: Iterator[str]) -> Iterator[tuple[str, bytes]]:
+        """Each distinct word and its ids as int32 bytes, by one depth-first pass over the trie of all of them."""
+        best = self._best_scores if self.kind == UNIGRAM else self._best_merges
+        last, start, piece, score = "", [0], [ROOT], [0.0]
         for w in sorted(words):
-            if not viterbi and w.startswith(MARK * 2):
-                out[w] = self._numbers(self.merged(w))
-                continue
-            shared = len(commonprefix((last, w)))
-            del score[shared + 1 :], start[shared + 1 :]
-            for end in range(shared + 1, len(w) + 1):
-                best, at = float("-inf"), end - 1
-                for j in range(max(0, end - longest), end):
-                    piece = w[j:end]
-                    if viterbi:
-                        k = ids.get(piece)
-                        s = score[j] + (self.scores[k] if k is not None else self.unknown if j == end - 1 else float("-inf"))
-                        if s > best:
-                            best, at = s, j
-                    elif piece in ids or j == end - 1:
-                        before = w[start[j] : j]
-                        fits = pairs.get((before, piece))
-                        if self._fits(before, piece) if fits is None else fits:
-                            best, at = 0.0, j
-                            break
-                score.append(best)
-                start.append(at)
+            n, shared = min(len(last), len(w)), 0
+            while shared < n and last[shared] == w[shared]:
+                shared += 1
+            del start[shared + 1 :], piece[shared + 1 :], score[shared + 1 :]
+            start.extend(range(shared, len(w)))
+            piece.extend([UNKNOWN] * (len(w) - shared))
+            best(w, shared, start, piece, score)
             parts, end = [], len(w)
             while end:
-                parts.append(w[start[end] : end])
+                k = piece[end]
+                if k >= 0:
+                    parts.append(k)
+                else:
+                    parts.extend(self.byte_ids[b] for b in reversed(w[start[end] : end].encode()))
                 end = start[end]
-            out[w], last = self._numbers(parts[::-1]), w
-        return out
-
-    def _numbers(self, parts: list[str]) -> list[int]:
-        return [i for p in parts for i in ([self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()])]
+            parts.reverse()
+            last = w
+            yield w, array("i", parts).tobytes()
+
+    def _ending(self, w: str, shared: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        """(last index, (id, length)) of all pieces in w that end after the shared prefix, among some before."""
+        return self._ends.iter(w, max(0, shared + 1 - self.longest)) if self.ids else iter(())
+
+    def _best_merges(self, w: str, shared: int, start: list[int], piece: list[int], score: list[float]) -> None:
+        """The forward states of w past the shared prefix: of the pieces that end there, the one that fits its left neighbour."""
+        pairs, names, done = self._pairs, self.names, shared - 1
+        marks = len(w) - len(w.lstrip(MARK)) if w.startswith(MARK * 2) else 0
+        for end in range(shared + 1, marks + 1):
+            j = self._last_of_marks(end)
+            start[end], piece[end], done = j, self.ids.get(w[j:end], UNKNOWN), end - 1
+        for e, (k, n) in self._ending(w, shared):
+            if e <= done:
+                continue
+            j = e + 1 - n
+            left = piece[j]
+            key = left << 20 | k if left != UNKNOWN else (w[j - 1], k)
+            fits = pairs.get(key)
+            if fits is None:
+                if len(pairs) >= MAX_PAIRS:
+                    pairs.clear()
+                fits = pairs[key] = self._fits(w[start[j] : j], names[k])
+            if fits:
+                start[e + 1], piece[e + 1], done = j, k, e
+
+    def _best_scores(self, w: str, shared: int, start: list[int], piece: list[int], score: list[float]) -> None:
+        """The forward states of w past the shared prefix: of the paths that end there, the one with the best sum of scores; of equal ones the longest last piece."""
+        scores, end = self.scores, shared
+        found = (x for x in self._ending(w, shared) if x[0] >= shared)
+        x = next(found, None)
+        for end in range(shared, len(w)):
+            top, at, last = float("-inf"), end, UNKNOWN
+            alone = False
+            while x is not None and x[0] == end:
+                k, n = x[1]
+                alone |= n == 1
+                if (s := score[end + 1 - n] + scores[k]) > top:
+                    top, at, last = s, end + 1 - n, k
+                x = next(found, None)
+            if not alone and (s := score[end] + self.unknown) > top:
+                top, at, last = s, end, UNKNOWN
+            score.append(top)
+            start[end + 1], piece[end + 1] = at, last
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -145,67 +210,67 @@ class Model:
         return raw[1 if raw[:1] == b" " else 0 :].decode(errors="replace")
 
 
-class Memory:
-    """The ids of words met before, as int32 bytes: the latest half of the bound and the half before it."""
-
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids_of(self, words: set[str], model: Model) -> dict[str, bytes]:
-        """The ids of the words; those not remembered are encoded in one pass over their trie."""
-        new, old = self.new, self.old
-        found = {w: x for w in words if (x := new.get(w) or old.get(w))}
-        found.update((w, np.array(x, dtype=np.int32).tobytes()) for w, x in model.encode_words(words - found.keys()).items())
-        if len(new) + len(found) > MAX_WORDS // 2:
-            self.old, self.new = new, {}
-        if len(found) <= MAX_WORDS // 2:
-            self.new.update(found)
-        return found
+def encode_texts(model: Model, texts: list[str]) -> Iterator[bytes]:
+    """The ids of each text as int32 bytes, by one pass over the trie of all their distinct words."""
+    place: defaultdict[str, int] = defaultdict()  # word: its number, in the order of first sight
+    place.default_factory = place.__len__
+    cut = [array("i", map(place.__getitem__, model.split(t))) if len(t) <= LONG else None for t in texts]
+    known: list[bytes] = [b""] * len(place)
+    for w, x in model.encode_words(place):
+        known[place[w]] = x
+    for t, numbers in zip(texts, cut, strict=True):
+        yield b"".join(map(known.__getitem__, numbers)) if numbers is not None else _long(model, t)
 
 
-#: What this Python worker remembers of the last model that it used
-_memory: dict[str, tuple[Memory, dict[tuple[str, str], bool]]] = {}
+def _long(model: Model, text: str) -> bytes:
+    """The ids of a long text, a run of its words at a time."""
+    words, out = (m.group() for m in model.words.finditer(MARK + text.replace(" ", MARK))), []
+    while run := list(islice(words, LONG // 8)):
+        known = dict(model.encode_words(set(run)))
+        out.append(b"".join(map(known.__getitem__, run)))
+    return b"".join(out)
 
 
-def _remembered(model: Model) -> Memory:
-    if model.digest not in _memory:
-        _memory.clear()
-        _memory[model.digest] = Memory(), model._pairs
-    memory, model._pairs = _memory[model.digest]
-    return memory
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most SLICE bytes of text, or one row."""
+    for b in batches:
+        ends, at = np.cumsum(pc.binary_length(b.column("_text")).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
-def _numbers(lists: pa.ListArray) -> list[list[int]]:
-    values, ends = lists.values.to_numpy().tolist(), lists.offsets.to_pylist()
-    return [values[i:j] for i, j in zip(ends, ends[1:], strict=False)]
-
-
-def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *, model_path: str = MODEL, carry: tuple[str, ...] | None = None) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *, model_path: str = MODEL, carry: tuple[str, ...] | None = None, derive: dict[str, tuple[str, Callable[[Model, str, list[int]], object]]] | None = None) -> DataFrame:
     """The columns `carry` of df (all, if None) and out_col: array<int> with the ids of the whole text.
 
+    derive: instead of out_col, columns of what is made in the same task from (model, text, ids): {name: (type, function)}.
     Null and empty texts have no ids. Rows are encoded one by one, so null and repeated ids or rows keep their rows.
-    A column of df named like out_col is replaced. An empty table gives an empty result.
+    A column of df named like an output is replaced. An empty table gives an empty result.
     """
     model = Model.load(model_path)
-    columns = [c for c in (df.columns if carry is None else carry) if c != out_col]
+    made = list((derive or {out_col: ("array<int>", None)}).items())
+    columns = [c for c in (df.columns if carry is None else carry) if c not in dict(made)]
     rows = df.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    kinds = ", ".join(f"_c{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(columns)))
+    kinds = [f"_c{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(columns))] + [f"_o{i} {kind}" for i, (_, (kind, _)) in enumerate(made)]
+    arrow = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _remembered(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                texts = [model.split(t) for t in b.column("_text").to_pylist()]
-                known = memory.ids_of({w for t in texts for w in t}, model)
-                found = [b"".join(map(known.__getitem__, t)) for t in texts]
+        for b in _sliced(batches):
+            texts = b.column("_text").to_pylist()
+            found = encode_texts(model, texts)
+            if derive:
+                lists = [(t, np.frombuffer(x, dtype=np.int32).tolist()) for t, x in zip(texts, found, strict=True)]
+                out = [pa.array([f(model, t, ids) for t, ids in lists], arrow[kind]) for _, (kind, f) in made]
+            else:
+                found = list(found)
                 ends = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], lists], names=[*b.schema.names[: len(columns)], "_ids"])
+                out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *out], names=[*b.schema.names[: len(columns)], *(f"_o{i}" for i in range(len(made)))])
 
-    out = rows.mapInArrow(run, ", ".join(x for x in (kinds, "_ids array<int>") if x))
-    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)), F.col("_ids").alias(out_col))
+    out = rows.mapInArrow(run, ", ".join(kinds))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)), *(F.col(f"_o{i}").alias(n) for i, (n, _) in enumerate(made)))
 
 
 def decoded(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", *, model_path: str = MODEL) -> DataFrame:
@@ -219,19 +284,18 @@ def decoded(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded",
     return df.withColumn(out_col, texts(F.col(ids_col)))
 
 
-def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined) and text_sha256, of the text decoded from the ids."""
-    found = encode(table(spark, folder, "documents"), carry=("doc_id",))
-    model = Model.load(MODEL)
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = _numbers(b.column("token_ids"))
-            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-            columns = [b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(sha(",".join(map(str, x))) for x in ids), pa.array(sha(model.decode(x)) for x in ids)]
-            yield pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2].cast(pa.string()), columns[3].cast(pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256"])
 
-    return found.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, text_sha256 string")
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined) and text_sha256, of the text decoded from the ids."""
+    derive = {
+        "n_tokens": ("bigint", lambda model, text, ids: len(ids)),
+        "ids_sha256": ("string", lambda model, text, ids: _sha(model.say(ids))),
+        "text_sha256": ("string", lambda model, text, ids: _sha(model.decode(ids))),
+    }
+    return encode(table(spark, folder, "documents"), carry=("doc_id",), derive=derive)
 
 
 QUERIES = {"op3_sentencepiece": op3_sentencepiece}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from array import array
 from collections import Counter
 
 import pytest
@@ -31,8 +32,27 @@ def test_pieces_random():
     for _ in range(500):
         text = "".join(random.choice(" ▁  ab\n\tthé😀世>< s") for _ in range(random.randint(0, 40)))
         words = model.split(text)
-        known = model.encode_words(set(words))
-        assert [i for w in words for i in known[w]] == sp.encode(text)
+        known = dict(model.encode_words(set(words)))
+        assert array("i", b"".join(known[w] for w in words)).tolist() == sp.encode(text)
+
+
+def test_pieces_runs_of_marks():
+    """Pieces of marks alone tie in priority."""
+    model, sp = pieces.Model.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    random.seed(11)
+    spaces = [0, 1, 2, 3, 4, 5, 7, 8, 15, 16, 17, 31, 33, 40]
+    texts = [" " * i for i in range(1, 80)]
+    texts += ["".join(" " * random.choice(spaces) + random.choice(["the", "a", "x1", "é", "世", "\n"]) for _ in range(5)) + " " * random.choice(spaces) for _ in range(500)]
+    assert [array("i", x).tolist() for x in pieces.encode_texts(model, texts)] == sp.encode(texts)
+
+
+def test_pieces_bounds_change_no_ids(monkeypatch):
+    model, sp = pieces.Model.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    monkeypatch.setattr(pieces, "LONG", 8)
+    monkeypatch.setattr(pieces, "MAX_PAIRS", 3)
+    random.seed(8)
+    texts = [x or "" for x in HARD] + [" ".join("".join(random.choices("aeinst", k=4)) for _ in range(30)) for _ in range(20)]
+    assert [array("i", x).tolist() for x in pieces.encode_texts(model, texts)] == sp.encode(texts)
 
 
 def test_unigram_viterbi_is_the_best_path():
@@ -47,7 +67,7 @@ def test_unigram_viterbi_is_the_best_path():
     random.seed(5)
     for _ in range(100):
         w = pieces.MARK + "".join(random.choice(chars) for _ in range(random.randint(0, 7)))
-        got = model.encode_words({w, w[:-1] or w})[w]
+        got = array("i", dict(model.encode_words({w, w[:-1] or w}))[w])
         assert sum(scores[i] for i in got) == pytest.approx(best(w)[0])
 
 

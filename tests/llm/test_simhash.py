@@ -5,7 +5,7 @@ import re
 
 import xxhash
 
-from millrace.llm import pieces, simhash
+from millrace.llm import simhash
 
 
 def brute_print(text: str | None) -> int:
@@ -89,16 +89,3 @@ def test_dedup_with_repeated_and_null_ids(spark):
     rows = [(1, a), (1, b), (2, a), (3, b), (None, "alone twice"), (None, "alone twice"), (4, "alone twice not"), (4, "alone twice not")]
     left = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(left) == 4 and set(left) == {(1, a), (1, b), (None, "alone twice"), (4, "alone twice not")}
-
-
-def test_forgotten_words_get_the_same_ids(monkeypatch):
-    model, memory = pieces.Model.load(), pieces.Memory()
-    monkeypatch.setattr(pieces, "MAX_WORDS", 8)
-    monkeypatch.setattr(pieces, "MAX_PAIRS", 5)
-    random.seed(8)
-    words = ["▁" + "".join(random.choices("aeinst", k=4)) for _ in range(30)]
-    want = pieces.Model.load().encode_words(words)
-    for _ in range(20):
-        some = set(random.sample(words, random.choice([2, 3, 12])))
-        assert {w: list(memoryview(x).cast("i")) for w, x in memory.ids_of(some, model).items()} == {w: want[w] for w in some}
-        assert len(memory.new) <= 4 + 12 and len(memory.old) <= 4 + 12
