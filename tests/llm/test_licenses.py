@@ -1,5 +1,8 @@
 """Licence texts in their published line breaks."""
 
+import time
+
+import duckdb
 import pytest
 
 from millrace.llm import licenses
@@ -72,3 +75,30 @@ def test_published_texts(spark, mark):
 def test_a_text_of_signs_or_words_only(spark):
     texts = ["." * 100_000, "* " * 50_000, "\n" * 100_000, "licensed under the " * 20_000]
     assert all(r["licenses"] == [] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
+def test_hostile_texts_take_linear_time(spark):
+    n = 1_000_000
+    texts = ["." * n, ". " * (n // 2), "* " * (n // 2), "\n" * n, "\n \n" * (n // 3), " " * n + ".", "licensed under the " * (n // 19), "." * n + "a", "Released under the MIT" + " " * n + "License."]
+    began = time.time()
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 30
+    assert found == {i: ["MIT"] if i == len(texts) - 1 else [] for i in range(len(texts))}
+
+
+def test_equals_the_sql(spark, tmp_path):
+    texts = [m + t.replace("\n", "\n" + m) for t, _ in CASES for m in ("", "# ")] + [None, "", ".", "\n\n.\x01 \n|/", "a\n\n" * 3, *licenses.SENTENCES, " / ".join(licenses.SENTENCES), "\n".join(licenses.SENTENCES)]
+    texts += ["SPDX-License-Identifier: MIT OR Apache-2.0 AND nothing", "x SPDX-License-Identifier: GPL-3.0-or-later WITH exception\nAll rights reserved.", "all rights reserved.. All Rights Reserved"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {tuple(r) for r in licenses.op7_licenses(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found == set(con.sql(licenses.ORACLES["op7_licenses"]).fetchall())
+
+
+def test_edge_rows(spark):
+    rows = spark.createDataFrame([(None, None, "x"), (1, "", "x"), (1, "Released under the MIT License.", "x"), (1, "Released under the MIT License.", "x")], "doc_id long, text string, licenses string")
+    found = sorted((r["doc_id"] or 0, r["licenses"]) for r in licenses.scan(rows).collect())
+    assert found == [(0, []), (1, []), (1, ["MIT"]), (1, ["MIT"])]
+    assert licenses.scan(rows.limit(0)).count() == 0
