@@ -1,23 +1,25 @@
 """Secret scans over a trigram inverted index, in DataFrame operations only.
 
 Each rule's regex yields a Boolean query over trigrams of the lower-cased text: an OR of ANDs that every match must
-satisfy. The index holds postings (trigram, document) of the trigrams that the rules mention. Intersecting the
-postings of a document gives its candidate rules, and only those regexes run over its text. A rule whose query is
-empty (no mandatory trigram, such as a run of hex digits) scans every text.
+satisfy. The index holds, for each trigram that the rules mention, which documents hold it. A document's postings stay
+with its row, where a query intersects them: the rarest trigram of an AND is asked first, and the next one only if the
+document holds that. So the postings never move, and no text is joined back to them. The regex of a rule runs only
+over the texts of its candidates. A rule whose query is empty (no mandatory trigram, such as a run of hex digits)
+scans every text.
 
-Scale: the postings of a document meet in the task that read it, so they shrink to a few bit masks before the
-shuffle; texts move only if more candidates are found than `max_broadcast` rows.
+Scale: everything happens in the row that holds the text, so nothing is shuffled, however many candidates there are.
 """
 
 from __future__ import annotations
 
 import re._constants as sre
 import re._parser as sre_parse
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest_text, kept, on_row, sized, spans_of, table
+from .common import digest_text, spans_of, table
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: In the order that breaks ties between spans. Runs that would be too short are left out by the bound on their
@@ -115,52 +117,35 @@ def trigram_query(regex: str) -> Query:
     return _walk(sre_parse.parse(regex))[1]
 
 
-def plan(rules: dict[str, str]) -> tuple[list[str], dict[str, Query]]:
-    """The trigrams to index, and the query of each rule that has one."""
-    queries = {n: q for n, r in rules.items() if (q := trigram_query(r)) != ANY and frozenset() not in q}
-    return sorted({t for q in queries.values() for a in q for t in a}), queries
-
-
-def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, _id, _h): a row for each indexed trigram that a text holds; trigram is its place in the list."""
-    held = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(trigrams))), lambda x: F.contains(F.col("low"), x["t"]))
-    low = rows.select("_id", "_h", F.lower("text").alias("low"))
-    return low.select(F.explode(held).alias("x"), "_id", "_h").select(F.col("x.i").alias("trigram"), "_id", "_h")
-
-
-def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, Query]) -> DataFrame:
-    """(_id, _h, rules): for documents that satisfy a query, the names of those rules."""
-    place = {t: i for i, t in enumerate(trigrams)}
-    words = range(len(trigrams) // 62 + 1)
-    masks = [F.expr(f"bit_or(CASE WHEN trigram div 62 = {w} THEN shiftleft(1L, CAST(trigram % 62 AS INT)) ELSE 0L END)").alias(f"m{w}") for w in words]
-
-    def holds(q: Query) -> Column:
-        any_of = F.lit(False)
-        for alternative in q:
-            all_of = F.lit(True)
-            for w in words:
-                if need := sum(1 << (place[t] % 62) for t in alternative if place[t] // 62 == w):
-                    all_of &= F.col(f"m{w}").bitwiseAND(F.lit(need)) == F.lit(need)
-            any_of |= all_of
-        return any_of
-
-    rules = F.array_compact(F.array(*(F.when(holds(q), F.lit(n)) for n, q in queries.items())))
-    return index.groupBy("_id", "_h").agg(*masks).select("_id", "_h", rules.alias("rules")).where(F.size("rules") > 0)
-
-
-def _found(rows: DataFrame, rules: dict[str, str], shortest: dict[str, tuple[int, int]], max_broadcast: int) -> DataFrame:
-    """rows (with _id, _h and a text that is never null) with `secrets`."""
-    trigrams, queries = plan(rules)
-    columns = rows.columns
-    if queries:
-        index = kept(postings(rows, trigrams))
-        hits = kept(candidates(index, trigrams, queries))
-        hits = sized(hits, hits.count(), max_broadcast)
-        rows = rows.join(hits, on_row(rows, hits), "left").select(*(rows[c] for c in columns), "rules")
-    else:
-        rows = rows.withColumn("rules", F.lit(None).cast("array<string>"))
-    may = lambda n: F.coalesce(F.array_contains("rules", n), F.lit(False)) if n in queries else None
-    rows = spans_of(rows, "text", {f"_s_{n}": (r, may(n)) for n, r in rules.items()})
+#: Letters from the most to the least frequent; other characters are taken to be rarer
+_FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def _rarity(trigram: str) -> int:
+    return sum(_FREQUENT.index(c) if c in _FREQUENT else len(_FREQUENT) for c in trigram)
+
+
+def plan(rules: dict[str, str]) -> dict[str, Query]:
+    """The query of each rule that has one."""
+    return {n: q for n, r in rules.items() if (q := trigram_query(r)) != ANY and frozenset() not in q}
+
+
+def posted(low: Column, trigram: str) -> Column:
+    """Whether the posting list of a trigram holds the row of this lower-cased text."""
+    return F.contains(low, F.lit(trigram))
+
+
+def candidate(low: Column, query: Query) -> Column:
+    """Whether the row is in the union, over the query's alternatives, of the intersection of their posting lists."""
+    each = sorted(sorted(a, key=lambda t: (-_rarity(t), t)) for a in query)
+    return reduce(Column.__or__, (reduce(Column.__and__, (posted(low, t) for t in a)) for a in each))
+
+
+def _found(rows: DataFrame, rules: dict[str, str], shortest: dict[str, tuple[int, int]]) -> DataFrame:
+    """rows (with a text that is never null) with `secrets`."""
+    queries, columns = plan(rules), rows.columns
+    rows = rows.withColumn("_low", F.lower("text")).withColumns({f"_may_{n}": candidate(F.col("_low"), q) for n, q in queries.items()})
+    rows = spans_of(rows, "text", {f"_s_{n}": (r, F.col(f"_may_{n}") if n in queries else None) for n, r in rules.items()})
 
     def named(i: int, n: str) -> Column:
         good = F.col(f"_s_{n}")
@@ -172,29 +157,31 @@ def _found(rows: DataFrame, rules: dict[str, str], shortest: dict[str, tuple[int
     return rows.withColumn("secrets", F.array_sort(F.concat(*(named(i, n) for i, n in enumerate(rules))))).select(*columns, "secrets")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules: dict[str, str] = RULES, shortest: dict[str, tuple[int, int]] = SHORTEST, max_broadcast: int = 500_000) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules: dict[str, str] = RULES, shortest: dict[str, tuple[int, int]] = SHORTEST) -> DataFrame:
     """Each row's `doc_id`, `text` and `secrets`: array<struct<start, rank, kind, end, value>> by start, then rule.
 
     Null texts count as empty; null or repeated ids keep their rows and equal rows get equal results. An empty table
     gives an empty result; df's other columns are ignored. Spans of one rule never overlap, those of two may.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumns({"_id": F.col("doc_id"), "_h": F.xxhash64("text")})
-    return _found(rows, rules, shortest, max_broadcast).select("doc_id", "text", "secrets")
+    return _found(rows, rules, shortest)
+
 
+def redacted(df: DataFrame, text_col: str = "text", *, rules: dict[str, str] = REDACTED, shortest: dict[str, tuple[int, int]] = SHORTEST) -> DataFrame:
+    """df's rows and columns with each secret replaced by [kind]; overlapping spans go as one, by the first's kind.
 
-def redacted(df: DataFrame, text_col: str = "text", *, rules: dict[str, str] = REDACTED, shortest: dict[str, tuple[int, int]] = SHORTEST, max_broadcast: int = 500_000) -> DataFrame:
-    """df's rows and columns with each secret replaced by [kind]; overlapping spans go as one, by the first's kind. Null texts stay null."""
+    Null texts stay null; null or repeated ids keep their rows. An empty table gives an empty result.
+    """
     plain = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in plain.items()))
     text = F.col(plain[text_col])
-    rows = rows.withColumns({"text": F.coalesce(text, F.lit("")), "_h": F.xxhash64(text), "_id": F.xxhash64(*(n for n in plain.values() if n != plain[text_col]), F.lit(0))})
+    rows = rows.withColumn("text", F.coalesce(text, F.lit("")))
     step = lambda acc, s: F.when(
         s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
     ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out")))
     done = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)).otherwise(text)
-    return _found(rows, rules, shortest, max_broadcast).select(*((clean if c == text_col else F.col(n)).alias(c) for c, n in plain.items()))
+    return _found(rows, rules, shortest).select(*((clean if c == text_col else F.col(n)).alias(c) for c, n in plain.items()))
 
 
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
