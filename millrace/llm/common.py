@@ -21,26 +21,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset one temporary folder (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own_folder.get(app) or _own_folder.setdefault(app, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends there, so a lost executor costs no recomputation.
 
-    The files go when the driver's JVM ends.
+    The files go with dropped(), else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _at(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of kept() tables that nothing will read again."""
+    for df in tables:
+        files, where = _at(df.sparkSession, df._kept_at)
+        files.delete(where, True)
 
 
 def sized(df: DataFrame, rows: int, max_rows: int) -> DataFrame:

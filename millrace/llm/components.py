@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import dropped, kept
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = kept(large.where("u > v").distinct())
+        dropped(edges)
         small = _to_smallest(large)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = kept(small.where("u > v").distinct())
+        dropped(large)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
