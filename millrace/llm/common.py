@@ -76,22 +76,79 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a later filter or column doesn't get their long expressions substituted."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+#: Elements of an array that are folded at a time: an array of n takes about n * BLOCK / 2 steps, not n * n / 2
+BLOCK = 256
+
+
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def folded(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column | None]]) -> Column:
+    """array<kind> of what a fold over items emits. step(at, item): the next at (an int, 0 at first), the value, and whether to emit it (None: always)."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        at, value, emits = step(acc["at"], x)
+        grown = F.concat(acc["out"], F.array(value.cast(kind)))
+        return F.struct(at.cast("int").alias("at"), (grown if emits is None else F.when(emits, grown).otherwise(acc["out"])).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return F.get(F.transform(F.array(inner), lambda z: F.struct(z["at"].alias("at"), F.concat(acc["out"], F.array(z["out"])).alias("out"))), F.lit(0))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(items) > 0, F.aggregate(_blocks(items), start, block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+
+SPAN = "struct<start:int,end:int,value:string>"
+
+
 def found_spans(values: Column, gaps: Column, good: Callable[[Column], Column] | None = None) -> Column:
     """Spans of a regex's matches as array<struct<start, end, value>>, in code points with the end exclusive.
 
     values: regexp_extract_all(text, regex, 0). gaps: split(text, regex, -1), the texts between those matches.
     Both run the same matcher, so gap i stands right before value i. good: which values to return, all without it.
     """
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = lambda acc, x: acc["at"] + F.length(x["g"])
-    grown = lambda acc, x: F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["v"])).alias("end"), x["v"].alias("value"))))
-    step = lambda acc, x: F.struct(
-        (start(acc, x) + F.length(x["v"])).alias("at"),
-        (F.when(good(x["v"]), grown(acc, x)).otherwise(acc["out"]) if good else grown(acc, x)).alias("out"),
-    )
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("g"), values.alias("v"))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(values) > 0, folded).otherwise(none)
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column | None]:
+        start = at + F.length(x["g"])
+        end = start + F.length(x["v"])
+        return end, F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")), good(x["v"]) if good else None
+
+    return folded(F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("g"), values.alias("v")), SPAN, step)
+
+
+def united(spans: Column) -> Column:
+    """array<struct<start, end, new>>: spans (start, end, new) in order, those that overlap as one with the first's `new`."""
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        return F.greatest(at, s["end"]), F.struct(s["start"].alias("start"), at.alias("before"), s["new"].alias("new")), s["start"] >= at
+
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    firsts = folded(spans, "struct<start:int,before:int,new:string>", step)
+    ends = lambda all_: F.transform(all_, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(all_, i + 1)["before"], last).alias("end"), s["new"].alias("new")))
+    return F.get(F.transform(F.array(firsts), ends), F.lit(0))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """text with `new` in place of each of its united() spans. A block of spans is worked off in its own part of the text."""
+    def part(b: Column) -> Column:
+        begin = F.get(spans, b * BLOCK)["start"]
+        end = F.coalesce(F.get(spans, (b + 1) * BLOCK)["start"], F.length(text))
+
+        def pieces(own: Column) -> Column:
+            after = lambda s, i: F.coalesce(F.get(spans, b * BLOCK + i + 1)["start"], F.length(text))
+            return F.array_join(F.transform(F.slice(spans, b * BLOCK + 1, F.lit(BLOCK)), lambda s, i: F.concat(s["new"], F.substring(own, s["end"] - begin + 1, after(s, i) - s["end"]))), "")
+
+        return F.get(F.transform(F.array(F.substring(text, begin + 1, end - begin)), pieces), F.lit(0))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+    whole = F.concat(F.substring(text, F.lit(1), F.get(spans, F.lit(0))["start"]), F.array_join(F.transform(numbers, part), ""))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def spans_of(df: DataFrame, text: str, regexes: dict[str, tuple[str, Column | None]]) -> DataFrame:
@@ -100,7 +157,7 @@ def spans_of(df: DataFrame, text: str, regexes: dict[str, tuple[str, Column | No
     none = F.array().cast("array<string>")
     df = df.withColumns({f"_v_{n}": F.when(cond, values[n]).otherwise(none) if cond is not None else values[n] for n, (_, cond) in regexes.items()})
     df = df.withColumns({f"_g_{n}": F.when(F.size(f"_v_{n}") > 0, F.split(F.col(text), r, -1)) for n, (r, _) in regexes.items()})
-    df = df.withColumns({n: found_spans(F.col(f"_v_{n}"), F.col(f"_g_{n}")) for n in regexes})
+    df = once(df, **{n: found_spans(F.col(f"_v_{n}"), F.col(f"_g_{n}")) for n in regexes})
     return df.drop(*(f"_{k}_{n}" for n in regexes for k in "vg"))
 
 

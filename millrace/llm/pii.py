@@ -14,8 +14,10 @@ one text only (a larger `min_support` asks for that many distinct windows). Term
 
 Windows only estimate co-occurrence: a disclosing term is marked wherever it stands in a text that holds its entity.
 
-Scale: texts move only if more of them hold disclosing terms than `max_broadcast`. Else windows (a few dozen
-characters around an entity), term counts and the texts' disclosing terms move. Counts are combined before the shuffle, so frequent words cost one row per task.
+Scale: only the texts that hold a base span are kept aside and joined with their terms; the others stay where they
+are read. Else windows (a few dozen characters around an entity) and counts move. A word of the corpus is counted by
+name only if it stands in some window, so the counts are combined before the shuffle to a row a term and task. The
+terms of an entity meet its texts as one list, so an entity in very many texts costs a row a text, not a row a word.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest_text, found_spans, kept, on_row, sized, spans_of, table
+from .common import digest_text, found_spans, kept, on_row, once, replaced, sized, spans_of, table, united
 
 KINDS = ("email", "ip", "card", "phone")
 #: A match can only start where a run of its first characters starts, or where the last match ended; possessive
@@ -61,7 +63,7 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
         return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
     each = [named(k) for k in KINDS]
-    return df.withColumn("base", F.concat(*each)).drop(*(f"_{k}" for k in KINDS))
+    return once(df, base=F.concat(*each)).drop(*(f"_{k}" for k in KINDS))
 
 
 def _windows(base: Column, text: Column, width: int) -> tuple[Column, Column]:
@@ -82,14 +84,12 @@ def _windows(base: Column, text: Column, width: int) -> tuple[Column, Column]:
     return ordered, F.transform(F.col("_ordered"), window)
 
 
-def _without(base: Column, text: Column) -> Column:
-    """The text with spaces in place of its base spans, so that no term reaches into one."""
-    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))).alias("out"),
-    )
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def _without(df: DataFrame, text: str) -> DataFrame:
+    """df with _plain: the text with spaces in place of its base spans, so that no term reaches into one."""
+    spans = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("new"))))
+    blank = F.transform("_united", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("new")))
+    df = once(df, _united=united(spans)).withColumn("_united", blank)
+    return once(df, _plain=replaced(F.col(text), F.col("_united"))).drop("_united")
 
 
 def context_terms(df: DataFrame, text: str, width: int) -> DataFrame:
@@ -104,18 +104,23 @@ def context_terms(df: DataFrame, text: str, width: int) -> DataFrame:
     return rows.select("_id", "_h", "entity", "window", "t.*")
 
 
-def disclosures(context: DataFrame, texts: DataFrame, text: str, threshold: float, min_support: int, window_terms: int) -> DataFrame:
+def disclosures(context: DataFrame, texts: DataFrame, text: str, threshold: float, min_support: int, window_terms: int, max_broadcast: int) -> DataFrame:
     """(entity, term, ratio) of the terms that disclose at least `threshold` of an entity's information."""
     context = context.where("term IS NOT NULL")
     # one window for each text: neither copies of a text nor repeats within it are evidence
-    once = lambda *by: context.groupBy(*by, "_h").agg(F.min("window").alias("window")).select(*by, "window").distinct().groupBy(*by)
-    joint = once("entity", "term").agg(F.count("*").alias("f_ct")).where(F.col("f_ct") >= min_support)
-    alone = once("entity").agg(F.count("*").alias("f_c"))
+    apart = lambda *by: context.groupBy(*by, "_h").agg(F.min("window").alias("window")).select(*by, "window").distinct().groupBy(*by)
+    joint = apart("entity", "term").agg(F.count("*").alias("f_ct")).where(F.col("f_ct") >= min_support)
+    alone = apart("entity").agg(F.count("*").alias("f_c"))
     joint = kept(joint)
-    wanted = joint.select("term").distinct().withColumn("hit", F.lit(True))
-    counts = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    wanted = kept(joint.select("term").distinct().withColumn("hit", F.lit(True)))
+    every = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0))).alias("term"))
+    if (n := wanted.count()) > max_broadcast:  # combined first, as both sides move
+        every = every.groupBy("term").agg(F.count("*").alias("n"))
+    else:
+        every = every.withColumn("n", F.lit(1).cast("long"))
     # one row for each wanted term, and one for all others together
-    counts = kept(counts.join(wanted, "term", "left").groupBy(F.when(F.col("hit"), F.col("term")).alias("term")).agg(F.sum("n").alias("f_t")))
+    every = every.join(sized(wanted, n, max_broadcast), "term", "left").select(F.when(F.col("hit"), F.col("term")).alias("term"), "n")
+    counts = kept(every.groupBy("term").agg(F.sum("n").alias("f_t")))
     total = (counts.agg(F.sum("f_t")).first()[0] or 0) / window_terms
     ratio = F.log2(F.col("f_ct") * F.lit(total) / (F.col("f_c") * F.col("f_t"))) / F.log2(F.lit(total) / F.col("f_c"))
     return joint.join(alone, "entity").join(counts, "term").where(F.col("f_c") < total).withColumn("ratio", ratio).where(F.col("ratio") >= threshold).select("entity", "term", "ratio")
@@ -126,35 +131,38 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
 
     A text's terms are all occurrences, outside base spans, of the terms that disclose one of its entities.
 
-    taxonomy: (term, general), one broader term each; without one a disclosing term is removed.
+    taxonomy: (term, general), one broader term each; without one a disclosing term is removed. Of a term's rows the
+    smallest general term counts.
     Null texts count as empty; null or repeated ids keep their rows, and equal rows get equal results. An empty
     table gives an empty result. Other columns of df are ignored, whatever their names. An entity seen in fewer
     than min_support distinct windows discloses nothing; in a tie at the threshold the term counts as disclosing.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = base_spans(rows, "text").withColumns({"_id": F.col("doc_id"), "_h": F.xxhash64("text")})
-    context = kept(context_terms(rows, "text", width))
-    strong = disclosures(context, rows, "text", threshold, min_support, window_terms)
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = base_spans(rows, "text")
+    private = kept(rows.where(F.size("base") > 0).withColumns({"_id": F.col("doc_id"), "_h": F.xxhash64("text")}))
+    context = kept(context_terms(private, "text", width))
+    strong = disclosures(context, rows, "text", threshold, min_support, window_terms, max_broadcast)
     if taxonomy is not None:
-        strong = strong.join(taxonomy.select(F.lower("term").alias("term"), F.col("general")), "term", "left")
+        broader = taxonomy.groupBy(F.lower("term").alias("term")).agg(F.min("general").alias("general"))
+        strong = strong.join(broader, "term", "left")
     else:
         strong = strong.withColumn("general", F.lit(None).cast("string"))
     # the disclosing terms of each text that holds their entity, wherever they stand in it
-    holders = context.select("_id", "_h", "entity").distinct()
     word = F.struct("term", F.coalesce("general", F.lit("")).alias("replacement"))
-    terms = holders.join(strong, "entity").groupBy("_id", "_h").agg(F.map_from_entries(F.collect_set(word)).alias("words"))
-    terms = kept(terms)
-    terms = sized(terms, terms.count(), max_broadcast)
-    rows = rows.join(terms, on_row(rows, terms), "left").select(rows["doc_id"], rows["text"], rows["base"], "words")
-    rows = rows.withColumn("_plain", F.when(F.col("words").isNotNull(), _without(F.col("base"), F.col("text"))))
-    rows = rows.withColumns({"_words": F.regexp_extract_all("_plain", F.lit(TERM), F.lit(0)), "_gaps": F.split("_plain", TERM, -1)})
-    found = found_spans(F.col("_words"), F.col("_gaps"), lambda v: F.map_contains_key("words", F.lower(v)))
-    named = F.transform(found, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.element_at("words", F.lower(s["value"])).alias("replacement")))
-    return rows.select("doc_id", "text", "base", named.alias("terms"))
+    words = strong.groupBy("entity").agg(F.collect_set(word).alias("words"))
+    holders = context.select("_id", "_h", "entity").distinct()
+    terms = holders.join(words, "entity").groupBy("_id", "_h").agg(F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
+    found = private.join(terms, on_row(private, terms), "left").select("doc_id", "text", "base", "words")
+    found = _without(found, "text").withColumn("_plain", F.when(F.col("words").isNotNull(), F.col("_plain")))
+    found = found.withColumns({"_words": F.regexp_extract_all("_plain", F.lit(TERM), F.lit(0)), "_gaps": F.split("_plain", TERM, -1)})
+    spans = found_spans(F.col("_words"), F.col("_gaps"), lambda v: F.map_contains_key("words", F.lower(v)))
+    kind = "array<struct<kind:string,start:int,end:int,replacement:string>>"
+    named = F.transform(spans, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.element_at("words", F.lower(s["value"])).alias("replacement")))
+    return rows.where(F.size("base") == 0).select("doc_id", "text", "base", F.array().cast(kind).alias("terms")).unionByName(once(found, terms=named.cast(kind)).select("doc_id", "text", "base", "terms"))
 
 
 def sanitised(scanned: DataFrame) -> DataFrame:
-    """scan()'s rows with `clean_text`: base spans become marks, disclosing terms their replacement; the first of overlapping spans wins."""
+    """scan()'s rows with `clean_text`: base spans become marks, disclosing terms their replacement; overlapping spans go as one, by the first's."""
     marks = F.create_map(*(F.lit(x) for kv in MARKS.items() for x in kv))
     spans = F.array_sort(
         F.concat(
@@ -162,18 +170,17 @@ def sanitised(scanned: DataFrame) -> DataFrame:
             F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("new"))),
         )
     )
-    step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["new"]).alias("out")))
-    done = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    return scanned.withColumn("clean_text", F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done))
+    return once(once(scanned, _spans=united(spans)), clean_text=replaced(F.col("text"), F.col("_spans"))).drop("_spans")
 
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
-    found = scan(table(spark, folder, "documents"))
+    found = sanitised(scan(table(spark, folder, "documents")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     bare = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return found.select(
         "doc_id", *(count(k) for k in KINDS), F.sha2(digest_text(F.col("base")), 256).alias("base_sha256"),
         digest_text(F.concat(bare(F.col("base")), bare(F.col("terms")))).alias("spans"), F.size("terms").cast("long").alias("n_term"),
+        F.sha2("clean_text", 256).alias("clean_sha256"),
     )
 
 

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest_text, spans_of, table
+from .common import digest_text, once, replaced, spans_of, table, united
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: In the order that breaks ties between spans. Runs that would be too short are left out by the bound on their
@@ -154,7 +154,7 @@ def _found(rows: DataFrame, rules: dict[str, str], shortest: dict[str, tuple[int
             good = F.filter(good, lambda s: F.length(F.regexp_extract(s["value"], rules[n], group)) >= least)
         return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), F.lit(n).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
-    return rows.withColumn("secrets", F.array_sort(F.concat(*(named(i, n) for i, n in enumerate(rules))))).select(*columns, "secrets")
+    return once(rows, secrets=F.array_sort(F.concat(*(named(i, n) for i, n in enumerate(rules))))).select(*columns, "secrets")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules: dict[str, str] = RULES, shortest: dict[str, tuple[int, int]] = SHORTEST) -> DataFrame:
@@ -176,12 +176,10 @@ def redacted(df: DataFrame, text_col: str = "text", *, rules: dict[str, str] = R
     rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in plain.items()))
     text = F.col(plain[text_col])
     rows = rows.withColumn("text", F.coalesce(text, F.lit("")))
-    step = lambda acc, s: F.when(
-        s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-    ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out")))
-    done = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)).otherwise(text)
-    return _found(rows, rules, shortest).select(*((clean if c == text_col else F.col(n)).alias(c) for c, n in plain.items()))
+    kind = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("new"))
+    found = once(_found(rows, rules, shortest), _spans=united(F.transform("secrets", kind)))
+    found = once(found, _clean=F.when(F.size("_spans") > 0, replaced(F.col("text"), F.col("_spans"))).otherwise(text))
+    return found.select(*((F.col("_clean") if c == text_col else F.col(n)).alias(c) for c, n in plain.items()))
 
 
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 
 from millrace.llm import secrets
 
@@ -27,3 +28,31 @@ def test_redaction_covers_key_bodies_and_overlaps(spark):
     found = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
     for i, (_, want) in enumerate(cases):
         assert found[i] == want, i
+
+
+def brute(text: str) -> list[tuple]:
+    out = []
+    for rank, (kind, rule) in enumerate(secrets.RULES.items()):
+        for m in re.finditer(rule, text):
+            if kind != "assign" or len(m.group(2)) >= 6:
+                out.append((m.start(), rank, kind, m.end(), m.group()))
+    return sorted(out)
+
+
+def test_spans_equal_a_search_without_an_index(spark):
+    random.seed(9)
+    parts = ["password", "Passwd ", "SECRET", "token", "api_key", "APIKEY", "=", ": ", "'", '"', "AKIA", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef", "deadbeefdeadbeef", "ghp_", "x" * 36, "xoxb-", "AIza", "sk_live_", "eyJ", ".eyJ", ".", "hidden99", " ", "\n", "é", "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 30))) for _ in range(400)] + [None, "", "a" * 100_000, "password = " + "z" * 100_000, "token=abcdef " * 3_000]
+    df = spark.createDataFrame([(i % 50, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, secrets string")
+    found = sorted(((r["text"], [tuple(s) for s in r["secrets"]]) for r in secrets.scan(df).collect()), key=repr)
+    assert found == sorted(((t or "", brute(t or "")) for t in texts), key=repr)
+    assert sum(len(s) for _, s in found) > 500
+    assert secrets.scan(df.limit(0)).count() == secrets.redacted(df.limit(0)).count() == 0
+    assert secrets.redacted(df).columns == df.columns and secrets.redacted(df).where("text IS NULL").count() == 1
+
+
+def test_every_match_satisfies_its_trigram_query():
+    for kind, query in secrets.plan(secrets.RULES).items():
+        for text in ("password=abcdef", "api_key: 'abcdef'", "ApiKey=abcdef", "AKIA" + "A" * 16, "-----BEGIN PRIVATE KEY-----", "ghp_" + "a" * 36, "xoxp-" + "a" * 10, "AIza" + "a" * 35, "rk_live_" + "a" * 16, "eyJ" + "a" * 10 + ".eyJ" + "a" * 10 + "." + "a" * 10):
+            if re.search(secrets.RULES[kind], text):
+                assert any(all(t in text.lower() for t in a) for a in query), (kind, text)
