@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A build side of at most so many rows is broadcast; beyond it both sides shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: A side of at most so many estimated bytes is broadcast; beyond it both sides shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def in_ranges(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
@@ -39,16 +39,24 @@ def one_per_key(df: DataFrame, key: str, seq: str, which: str) -> DataFrame:
     return df.groupBy(key).agg(pick(F.struct(*(c for c in df.columns if c != key)), seq).alias("_row")).select(key, "_row.*")
 
 
-def hash_join(build: DataFrame, probe: DataFrame, build_key: str, probe_key: str, *, duplicates: str = "all", seq: str | None = None, hint: str = "shuffle_hash") -> DataFrame:
-    """Inner equi-join; of build rows with one key all, the first or the last (by seq) match. hint: the physical way."""
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer knows of the size of df, from files and statistics; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def hash_join(build: DataFrame, probe: DataFrame, build_key: str, probe_key: str, *, duplicates: str = "all", seq: str | None = None, hint: str | None = None) -> DataFrame:
+    """Inner equi-join; of build rows with one key all, the first or the last (by seq) match.
+
+    hint: the physical way; without one the sizes decide, at planning and again when the sides are known.
+    """
     if duplicates != "all":
         build = one_per_key(build, build_key, seq or build_key, duplicates)
-    return build.hint(hint).join(probe, build[build_key] == probe[probe_key])
+    return (build.hint(hint) if hint else build).join(probe, build[build_key] == probe[probe_key])
 
 
 def replication_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Inner join that sends the right side everywhere if it is small enough, and else shuffles both."""
-    few = right.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    """Inner join that sends the right side everywhere if its estimated bytes are within the bound, and else shuffles both."""
+    few = estimated_bytes(right) <= MAX_BROADCAST_BYTES
     return left.join(F.broadcast(right) if few else right, left[left_key] == right[right_key])
 
 
@@ -57,11 +65,6 @@ def semi_join_reduction(left: DataFrame, right: DataFrame, left_key: str, right_
     return left.join(right.select(F.col(right_key).alias("_key")), F.col(left_key) == F.col("_key"), "left_semi")
 
 
-def sorted_ties_reversed(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """df in the order of key, equal keys in descending seq."""
-    return df.orderBy(F.col(key), F.col(seq).desc())
-
-
 def ranked(df: DataFrame, *order: Column, buckets: Column) -> DataFrame:
     """df with the global `rank` (from 1) by (buckets, order). buckets must be monotone in the order.
 
@@ -76,6 +79,17 @@ def ranked(df: DataFrame, *order: Column, buckets: Column) -> DataFrame:
     return moved.withColumn("rank", (within + F.col("_before")).cast("long")).drop("_bucket", "_before")
 
 
-def upserted(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
-    """The last value of each key by seq."""
-    return df.groupBy(key).agg(F.max_by(value, seq).alias(value))
+def upserted(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """The last row of each key by seq."""
+    return one_per_key(df, key, seq, "last")
+
+
+def merged_state(parts: DataFrame, **outputs: tuple[str, str]) -> DataFrame:
+    """One row from partial rows of name=(function, column): each function is applied again to its own results."""
+    return aggregate(parts, **{n: (f, n) for n, (f, _) in outputs.items()})
+
+
+def in_two_levels(df: DataFrame, chunk: Column, **outputs: tuple[str, str]) -> DataFrame:
+    """aggregate() for each chunk, then over the chunks' results."""
+    parts = df.groupBy(chunk).agg(*(getattr(F, f)(c).alias(n) for n, (f, c) in outputs.items()))
+    return merged_state(parts, **outputs)
