@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import kept, row_key, sized, table
+from .common import dropped, kept, row_key, sized, table
 from .components import components
 
 SEED, BITS, FANOUT = 42, 64, 8
@@ -42,18 +42,27 @@ _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS,
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = text.translate(_LOWER).split()  # bytes are split at exactly U+0009 to U+000D and the space
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), runs), dtype="<u8")
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), runs), dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, as a signed long."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    return _majority(_hashes(text, shingle))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(_id, _h, fp): each row's id, the hash of its text and its fingerprint as a signed long. Null texts count as empty."""
     kind = df.select(id_col).schema[0].dataType.simpleString()
@@ -217,13 +226,6 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
     return prints.join(by_print, prints["fp"] == by_print["of"]).select("_id", "_h", "fp", "component")
 
 
-def _shingles(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted; a text of fewer words is one shingle, one without words has none."""
-    words = text.translate(_LOWER).split()
-    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), runs), dtype="<u8")) if words else np.empty(0, dtype="<u8")
-
-
 def _band_keys(shingles: np.ndarray) -> list[int]:
     """A key for each band of a text's MinHash signature, as signed longs."""
     least = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, dtype="<u8")
@@ -235,37 +237,49 @@ def _band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """df with _row (a number of its own), _h, fp, the shingle set's hash `node`, its hashes and its band keys."""
+    """df with _row (a number of its own), _h, fp, the shingle set's hash `node` and its band keys."""
     rows = df.withColumns({"_h": F.xxhash64(F.coalesce(text_col, F.lit(""))), "_t": F.encode(F.coalesce(text_col, F.lit("")), "utf-8")})
-    out = StructType([*rows.schema.fields[:-1], *(StructField(n, t) for n, t in (("fp", LongType()), ("node", LongType()), ("shingles", ArrayType(LongType())), ("keys", ArrayType(LongType()))))])
+    out = StructType([*rows.schema.fields[:-1], *(StructField(n, t) for n, t in (("fp", LongType()), ("node", LongType()), ("keys", ArrayType(LongType()))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node, held, keys = [], [], [], []
+            fp, node, keys = [], [], []
             for x in batch.column("_t"):
-                text = x.as_py()
-                found = _shingles(text, shingle)
-                fp.append(fingerprint(text, shingle))
+                hashes = _hashes(x.as_py(), shingle)
+                found = np.unique(hashes)
+                fp.append(_majority(hashes))
                 node.append(int(np.array([xxhash.xxh64_intdigest(found.tobytes())], dtype="<u8").view("<i8")[0]))
-                held.append(found.view("<i8"))
                 keys.append(_band_keys(found) if len(found) else [])
-            more = [pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            more = [pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=out.names)
 
     return kept(rows.mapInArrow(run, out).withColumn("_row", F.monotonically_increasing_id()))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, max_broadcast: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity."""
+def _shingled(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, shingles): the sorted distinct shingle hashes of each row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = pa.array([np.unique(_hashes(x.as_py(), shingle)).view("<i8") for x in b.column("_t")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), held], names=["node", "shingles"])
+
+    return rows.select("node", F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("_t")).mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, text_col: str, shingle: int, similarity: float, max_broadcast: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity. Only their texts are read again."""
     pairs = kept(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    held = kept(sets.join(sized(asked, asked.count(), max_broadcast), "node", "left_semi").select("node", "shingles"))
+    held = kept(_shingled(sets.join(sized(asked, asked.count(), max_broadcast), "node", "left_semi"), text_col, shingle))
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return kept(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
+    found = kept(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
+    dropped(pairs, asked, held)
+    return found
 
 
-def _groups(rows: DataFrame, similarity: float, max_bits: int, max_broadcast: int) -> DataFrame:
+def _groups(rows: DataFrame, text_col: str, shingle: int, similarity: float, max_bits: int, max_broadcast: int) -> DataFrame:
     """(node, label) for the shingle sets that are linked to another one, by Jaccard similarity."""
     one = kept(rows.groupBy("node").agg(F.min("_row").alias("_row")))
     many = one.count()
@@ -277,7 +291,7 @@ def _groups(rows: DataFrame, similarity: float, max_bits: int, max_broadcast: in
     near = links(of_print.select("fp"), of_print.count(), max_bits)
     near = near.join(of_print.toDF("a", "na"), "a").join(of_print.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = sets.select("fp", "node").join(of_print, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    sure = _alike(members.select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(near).unionByName(equal), sets, similarity, max_broadcast)
+    sure = _alike(members.select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(near).unionByName(equal), sets, text_col, shingle, similarity, max_broadcast)
     found = kept(components(sure))
     # a bucket's members were compared with its smallest one; what that has not joined is compared pair by pair
     named = kept(members.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
@@ -285,7 +299,7 @@ def _groups(rows: DataFrame, similarity: float, max_bits: int, max_broadcast: in
     named = kept(named.join(open_, "key", "left_semi"))
     a, b = named.toDF("key", "a", "la"), named.toDF("key", "b", "lb")
     rest = a.join(b, "key").where("a < b AND la <> lb").select("a", "b")
-    return components(sure.unionByName(_alike(rest, sets, similarity, max_broadcast)))
+    return components(sure.unionByName(_alike(rest, sets, text_col, shingle, similarity, max_broadcast)))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, max_bits: int = 3, max_broadcast: int = 500_000) -> DataFrame:
@@ -299,7 +313,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     plain = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     rows = _sets(df.select(*(F.col(f"`{c}`").alias(n) for c, n in plain.items())), plain[text_col], shingle)
-    groups = kept(_groups(rows, similarity, max_bits, max_broadcast))
+    groups = kept(_groups(rows, plain[text_col], shingle, similarity, max_bits, max_broadcast))
     of = rows.select("_row", F.col(plain[id_col]).alias("_id"), "_h", "node").join(sized(groups, groups.count(), max_broadcast), "node", "left")
     of = kept(of.select("_row", "_id", "_h", F.coalesce("label", "node").alias("label")))
     first = of.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_h", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1")
