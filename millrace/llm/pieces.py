@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
-A text's spaces become marks (U+2581) and one mark is put before it. It is cut into marked words where no piece can
+A text's spaces are marks (U+2581 in the vocabulary) and one more is put before it. It is cut into marked words where no piece can
 cross. A slice's distinct words are sorted, which lays their trie out depth-first: a word starts from the forward
 states of the prefix that it shares with the word before, and only adds states for the rest. An Aho-Corasick
 automaton of all pieces names the pieces that end at each new character.
@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK = "▁"
+#: What a vocabulary writes for a space. Inside, texts and pieces keep the space, which takes half the memory.
+WRITTEN, MARK = "▁", " "
 MAX_PIECES, MAX_PAIRS = 1_000_000, 250_000
 #: Bytes of texts that are worked off at a time; characters of a text that is worked off alone, run by run
-SLICE, LONG = 32_000_000, 1_000_000
+SLICE, LONG = 12_000_000, 1_000_000
 MERGE, UNIGRAM = "merge", "unigram"
 #: In place of a piece: the start of a word, and a character that no piece holds
 ROOT, UNKNOWN = -2, -1
@@ -52,10 +53,11 @@ class Model:
 
     def __init__(self, pieces: list[str | None], scores: list[float], byte_ids: list[int], kind: str = MERGE):
         assert len(pieces) <= MAX_PIECES and len(byte_ids) == 256
+        pieces = [p if p is None else p.replace(WRITTEN, MARK) for p in pieces]
         self.kind, self.byte_ids, self.scores = kind, byte_ids, scores
         self.ids = {p: i for i, p in enumerate(pieces) if p is not None}
         of_byte = {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        self.raw = [of_byte.get(i, b"") if p is None else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.raw = [of_byte.get(i, b"") if p is None else p.encode() for i, p in enumerate(pieces)]
         self.longest = max(map(len, self.ids), default=1)
         #: below every path of pieces, as the reference library places unknown characters
         self.unknown = min((scores[i] for i in self.ids.values()), default=0.0) - 10.0
@@ -151,7 +153,7 @@ class Model:
                 if k >= 0:
                     parts.append(k)
                 else:
-                    parts.extend(self.byte_ids[b] for b in reversed(w[start[end] : end].encode()))
+                    parts.extend(self.byte_ids[b] for b in reversed(w[start[end] : end].replace(MARK, WRITTEN).encode()))
                 end = start[end]
             parts.reverse()
             last = w
@@ -202,7 +204,7 @@ class Model:
             start[end + 1], piece[end + 1] = at, last
 
     def split(self, text: str) -> list[str]:
-        return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.words.findall(MARK + text.replace(WRITTEN, MARK)) if text else []
 
     def decode(self, numbers: list[int]) -> str:
         """The text of ids: pieces and bytes joined, without the space put before."""
@@ -224,7 +226,7 @@ def encode_texts(model: Model, texts: list[str]) -> Iterator[bytes]:
 
 def _long(model: Model, text: str) -> bytes:
     """The ids of a long text, a run of its words at a time."""
-    words, out = (m.group() for m in model.words.finditer(MARK + text.replace(" ", MARK))), []
+    words, out = (m.group() for m in model.words.finditer(MARK + text.replace(WRITTEN, MARK))), []
     while run := list(islice(words, LONG // 8)):
         known = dict(model.encode_words(set(run)))
         out.append(b"".join(map(known.__getitem__, run)))

@@ -9,9 +9,10 @@ hold the bits all their members share. A search walks pairs of nodes from the to
 bits add up on the way down, and a pair of nodes that exceeds max_bits is dropped with everything below. Nothing is
 approximate: each pair within max_bits is found.
 
-A top node of more than `group` fingerprints is cut into parts, and each pair of parts is a task of its own, so a
-hot node never meets in one task. Of the links found in a task a spanning forest is returned, which keeps what is
-reachable; components() joins the forests.
+A top node of more than MANY * `group` fingerprints is split by blocks of its remaining bits, again so that any two
+within max_bits agree on some choice. What is still larger than `group` is cut into parts, and each pair of parts is
+a task of its own, so a hot node never meets in one task. Of the links found in a task a spanning forest is returned,
+which keeps what is reachable; components() joins the forests.
 
 Scale: equal fingerprints are collapsed first, so thousands of copies cost one row. More blocks are used as the
 number of distinct fingerprints grows, which keeps the top nodes small. Texts are read once and never shuffled.
@@ -36,6 +37,8 @@ from .common import dropped, kept, row_key, sized, table
 from .components import components
 
 SEED, BITS, FANOUT = 42, 64, 8
+#: Parts beyond which a hot node is split by more of its bits first, and how often
+MANY, SPLITS = 32, 2
 #: MinHash bands of deduplicated(): texts that agree on all rows of one band are compared
 BANDS, ROWS = 20, 6
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
@@ -85,7 +88,22 @@ def _block_masks(distinct: int, max_bits: int, crowd: int) -> list[int]:
         if distinct >> min(m.bit_count() for m in masks) <= crowd:
             break
     assert len(masks) == comb(blocks, max_bits)
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    return [_signed(m) for m in masks]
+
+
+def _finer_masks(mask: int, max_bits: int) -> list[int]:
+    """Masks that hold `mask` and more: any two fingerprints that agree under it and are within max_bits agree under one of these."""
+    rest = [i for i in range(BITS) if not mask >> i & 1]
+    blocks = max_bits + 2
+    if len(rest) < blocks:
+        return []
+    parts = [sum(1 << i for i in rest[len(rest) * b // blocks : len(rest) * (b + 1) // blocks]) for b in range(blocks)]
+    masks = [mask | sum(c) for c in combinations(parts, blocks - max_bits)]
+    return [_signed(m) for m in masks]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
 def gray_rank(c: Column) -> Column:
@@ -171,9 +189,23 @@ def _linked(rows: pa.Table, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def links(distinct: DataFrame, rows: int, max_bits: int = 3, *, group: int = 1024, crowd: int = 64, max_broadcast: int = 200_000, at_once: int = 200_000) -> DataFrame:
     """(a, b): edges between distinct fingerprints `fp` that leave reachable what links within max_bits reach."""
-    spread = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(_block_masks(rows, max_bits, crowd))))
+    spread = F.array(*(F.struct(F.lit(m).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for m in _block_masks(rows, max_bits, crowd)))
     keyed = distinct.select("fp", F.explode(spread).alias("k")).select("fp", "k.*")
-    hot = kept(keyed.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > group))
+    sizes = lambda rows: kept(rows.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > group))
+    hot = sizes(keyed)
+    for _ in range(SPLITS):
+        # at most as many rows as there are masks
+        masks = [r[0] for r in hot.where(F.col("n") > MANY * group).select("choice").distinct().collect()]
+        finer = [(m, f) for m in masks if (f := _finer_masks(m % (1 << BITS), max_bits))]
+        if not finer:
+            break
+        by = hot.where((F.col("n") > MANY * group) & F.col("choice").isin([m for m, _ in finer])).select("choice", "value")
+        of = distinct.sparkSession.createDataFrame(finer, "choice long, finer array<bigint>")
+        by = sized(by, by.count(), max_broadcast)
+        again = keyed.join(by, ["choice", "value"], "left_semi").join(F.broadcast(of), "choice").select("fp", F.explode("finer").alias("choice"))
+        again = again.withColumn("value", F.col("fp").bitwiseAND(F.col("choice"))).distinct()
+        keyed = kept(keyed.join(by, ["choice", "value"], "left_anti").select("fp", "choice", "value").unionByName(again))
+        hot = sizes(keyed)
     if many := hot.count():
         hot = sized(hot, many, max_broadcast)
         keyed = keyed.join(hot, ["choice", "value"], "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / group).cast("int"))

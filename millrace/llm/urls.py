@@ -19,8 +19,18 @@ from .common import ascii_lower, kept, sized, table
 
 #: (verdict, rule): host and path, as the contract fixes them
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Listed sites of junk, by the names that such lists hold
-LISTED = tuple(f"http://{name}.example.{tld}/" for name in ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x") for tld in ("com", "net", "org"))
+#: Names that lists of junk sites hold, and folders and pages of junk on sites that are otherwise fine
+JUNK = (
+    "casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x", "win-prizes", "fast-loans", "click-bait", "fake-watches", "lucky-slots", "miracle-diet",
+    "pirate-films", "phish-login", "crypto-double", "link-farm", "pop-ads", "scam-deals", "hot-dates", "poker-room",
+)
+JUNK_FOLDERS = ("ads", "banner/ads", "sponsored", "out/affiliate", "cgi-bin/track.php")
+ENDINGS = ("com", "net", "org", "info", "biz")
+#: What the query lists: the roots of such sites under common endings, and such folders under two sites
+LISTED = (
+    *(f"http://{name}.example.{tld}/" for name in JUNK for tld in ENDINGS),
+    *(f"http://{host}/{folder}" for host in ("news.example.com", "shop.example.net") for folder in JUNK_FOLDERS),
+)
 WORDS, HASHES, BITS_A_URL = 4, 4, 16
 _SEED = 20_011
 
@@ -41,13 +51,17 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(bare, F.when(clean == "", "/").otherwise(clean))
 
 
-def expressions(url: Column) -> Column:
-    """What a canonical URL is looked up by: itself, the folders above it, the roots of its domains."""
+def expressions(url: Column, folders_listed: list[int], labels_listed: list[int]) -> Column:
+    """What a canonical URL is looked up by: itself, the folders above it, the roots of its domains.
+
+    Only folders of a depth, and domains of a number of labels, that stand in the list can be in it. So a URL of very
+    many folders or labels costs no more than the list's own variety.
+    """
     host, path = F.substring_index(url, "/", 1), F.substr(url, F.instr(url, "/"))
     folders, labels = F.split(path, "/", -1), F.split(host, r"\.", -1)
-    roots = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, i, F.size(labels)), "."), F.lit("/")))
-    above = F.transform(F.sequence(F.lit(1), F.size(folders)), lambda i: F.concat(host, F.array_join(F.slice(folders, F.lit(1), i), "/")))
-    return F.array_distinct(F.concat(F.array(url), F.filter(above, lambda x: F.contains(x, F.lit("/"))), roots))
+    above = [F.when(F.size(folders) > d, F.concat(host, F.array_join(F.slice(folders, 1, d), "/"))) for d in folders_listed]
+    roots = [F.when(F.size(labels) >= n, F.concat(F.substring_index(host, ".", -n), F.lit("/"))) for n in labels_listed]
+    return F.array_distinct(F.array_compact(F.array(url, *above, *roots)))
 
 
 def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -84,7 +98,11 @@ def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", *, max
     filter_, blocks = bloom(keys, count)
     filter_ = kept(filter_)
     filter_ = sized(filter_, filter_.count(), max_broadcast)
-    asked = urls.select("url", F.explode(expressions(F.col("url"))).alias("key"))
+    # the depths of listed folders and the labels of listed hosts: as many rows as they vary
+    host, path = F.substring_index("key", "/", 1), F.substr("key", F.instr("key", "/"))
+    folders = [r[0] for r in keys.where(path != "/").select(F.size(F.split(path, "/", -1))).distinct().collect()]
+    labels = [r[0] for r in keys.where(path == "/").select(F.size(F.split(host, r"\.", -1))).distinct().collect()]
+    asked = urls.select("url", F.explode(expressions(F.col("url"), sorted(folders), sorted(labels))).alias("key"))
     block, words = _bits(F.col("key"), blocks)
     asked = asked.select("url", "key", block.alias("of"), *(w.alias(f"m{i}") for i, w in enumerate(words)))
     all_set = F.lit(True)
@@ -134,14 +152,17 @@ def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
 def _oracle() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[1]))
     fit = lambda r: f"(host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}')"
-    hosts = ", ".join(f"'{u.split('/')[2]}'" for u in LISTED)
+    known = [u.split("/", 3)[2:] for u in LISTED]
+    hosts = ", ".join(f"'{h}'" for h, p in known if not p)
+    folders = ", ".join(f"'{h}/{p}'" for h, p in known if p)
+    clean = "regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '')"
     bare = r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '^www\.', '')"
     return rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[position('://' IN url) + 3:] ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-l AS (SELECT *, {bare} AS bare FROM h),
+l AS (SELECT *, {bare} AS bare, {clean} AS clean FROM h),
 r AS (SELECT page_id, host, path, CASE {' '.join(f"WHEN {fit(r)} THEN '{r}'" for _, r in rules)} END AS rule,
-  len(list_filter([{hosts}], lambda x: bare = x OR ends_with(bare, '.' || x))) > 0 AS listed FROM l)
+  len(list_filter([{hosts}], lambda x: bare = x OR ends_with(bare, '.' || x))) > 0 OR len(list_filter([{folders}], lambda x: starts_with(bare || clean || '/', x || '/'))) > 0 AS listed FROM l)
 SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in rules)} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r
 """
 

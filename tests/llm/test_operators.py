@@ -127,4 +127,4 @@ def test_mix_comes_near_its_targets(spark, docs):
     for s in {r[2] for r in a}:
         target, got = next(r[5] for r in a if r[2] == s), sum(r[3] * r[6] for r in a if r[2] == s)
         assert abs(got - target) <= 0.02 * target
-    assert mixing.mix(docs).count() == docs.count() and mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.dealt(mixing.mix(docs)).count() == docs.count() and mixing.mix(docs.limit(0)).count() == 0
