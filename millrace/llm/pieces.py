@@ -43,6 +43,8 @@ WRITTEN, MARK = "▁", " "
 MAX_PIECES, MAX_PAIRS = 1_000_000, 250_000
 #: Bytes of texts that are worked off at a time; characters of a text that is worked off alone, run by run
 SLICE, LONG = 12_000_000, 1_000_000
+#: Rows that go back to Spark at a time
+ROWS_OUT = 256
 MERGE, UNIGRAM = "merge", "unigram"
 #: In place of a piece: the start of a word, and a character that no piece holds
 ROOT, UNKNOWN = -2, -1
@@ -68,9 +70,9 @@ class Model:
         self.names = pieces
         self._start()
 
-    def say(self, ids: list[int]) -> str:
+    def say(self, ids: np.ndarray) -> str:
         """The ids, comma-joined."""
-        return ",".join(map(self._said.__getitem__, ids))
+        return ",".join(map(self._said.__getitem__, ids.tolist()))
 
     def _start(self) -> None:
         """What isn't sent with a task: the automaton, and what is remembered of pairs and of runs of marks."""
@@ -206,9 +208,9 @@ class Model:
     def split(self, text: str) -> list[str]:
         return self.words.findall(MARK + text.replace(WRITTEN, MARK)) if text else []
 
-    def decode(self, numbers: list[int]) -> str:
+    def decode(self, numbers: list[int] | np.ndarray) -> str:
         """The text of ids: pieces and bytes joined, without the space put before."""
-        raw = b"".join(map(self.raw.__getitem__, numbers))
+        raw = b"".join(map(self.raw.__getitem__, numbers.tolist() if isinstance(numbers, np.ndarray) else numbers))
         return raw[1 if raw[:1] == b" " else 0 :].decode(errors="replace")
 
 
@@ -244,10 +246,11 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *, model_path: str = MODEL, carry: tuple[str, ...] | None = None, derive: dict[str, tuple[str, Callable[[Model, str, list[int]], object]]] | None = None) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *, model_path: str = MODEL, carry: tuple[str, ...] | None = None, derive: dict[str, tuple[str, Callable[[Model, str, np.ndarray], object]]] | None = None) -> DataFrame:
     """The columns `carry` of df (all, if None) and out_col: array<int> with the ids of the whole text.
 
-    derive: instead of out_col, columns of what is made in the same task from (model, text, ids): {name: (type, function)}.
+    derive: instead of out_col, columns of what is made in the same task from (model, text, ids as an int32 array):
+    {name: (type, function)}.
     Null and empty texts have no ids. Rows are encoded one by one, so null and repeated ids or rows keep their rows.
     A column of df named like an output is replaced. An empty table gives an empty result.
     """
@@ -262,14 +265,11 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *,
         for b in _sliced(batches):
             texts = b.column("_text").to_pylist()
             found = encode_texts(model, texts)
-            if derive:
-                lists = [(t, np.frombuffer(x, dtype=np.int32).tolist()) for t, x in zip(texts, found, strict=True)]
-                out = [pa.array([f(model, t, ids) for t, ids in lists], arrow[kind]) for _, (kind, f) in made]
-            else:
-                found = list(found)
-                ends = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
-                out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *out], names=[*b.schema.names[: len(columns)], *(f"_o{i}" for i in range(len(made)))])
+            for at in range(0, len(texts), ROWS_OUT):  # few at a time, as ids take several times the space of texts
+                part = b.slice(at, ROWS_OUT)
+                lists = [np.frombuffer(next(found), dtype=np.int32) for _ in range(part.num_rows)]
+                out = [pa.array([f(model, t, ids) if f else ids for t, ids in zip(texts[at : at + ROWS_OUT], lists, strict=True)], arrow[kind]) for _, (kind, f) in made]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *out], names=[*b.schema.names[: len(columns)], *(f"_o{i}" for i in range(len(made)))])
 
     out = rows.mapInArrow(run, ", ".join(kinds))
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)), *(F.col(f"_o{i}").alias(n) for i, (n, _) in enumerate(made)))

@@ -269,39 +269,52 @@ def _band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """df with _row (a number of its own), _h, fp, the shingle set's hash `node` and its band keys."""
-    rows = df.withColumns({"_h": F.xxhash64(F.coalesce(text_col, F.lit(""))), "_t": F.encode(F.coalesce(text_col, F.lit("")), "utf-8")})
-    out = StructType([*rows.schema.fields[:-1], *(StructField(n, t) for n, t in (("fp", LongType()), ("node", LongType()), ("keys", ArrayType(LongType()))))])
+    """df with _row (a number of its own), _h, fp, the shingle set's hash `node`, its size `width` and its band keys."""
+    rows = df.withColumn("_h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    out = StructType([*rows.schema.fields, *(StructField(n, t) for n, t in (("fp", LongType()), ("node", LongType()), ("width", LongType()), ("keys", ArrayType(LongType()))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, node, keys = [], [], []
-            for x in batch.column("_t"):
-                hashes = _hashes(x.as_py(), shingle)
+        for batch, texts in _few(batches, text_col):
+            fp, node, width, keys = [], [], [], []
+            for text in texts:
+                hashes = _hashes(text, shingle)
                 found = np.unique(hashes)
                 fp.append(_majority(hashes))
                 node.append(int(np.array([xxhash.xxh64_intdigest(found.tobytes())], dtype="<u8").view("<i8")[0]))
+                width.append(len(found))
                 keys.append(_band_keys(found) if len(found) else [])
-            more = [pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=out.names)
+            more = [pa.array(x, pa.int64()) for x in (fp, node, width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more, pa.array(keys, pa.list_(pa.int64()))], names=out.names)
 
     return kept(rows.mapInArrow(run, out).withColumn("_row", F.monotonically_increasing_id()))
 
 
+def _few(batches: Iterator[pa.RecordBatch], text_col: str, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batches in parts of a few rows, with their texts as UTF-8; null texts count as empty."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
+            yield part, [x or b"" for x in part.column(text_col).cast(pa.binary()).to_pylist()]
+
+
 def _shingled(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """(node, shingles): the sorted distinct shingle hashes of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = pa.array([np.unique(_hashes(x.as_py(), shingle)).view("<i8") for x in b.column("_t")], pa.list_(pa.int64()))
+        for b, texts in _few(batches, text_col):
+            held = pa.array([np.unique(_hashes(t, shingle)).view("<i8") for t in texts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("node"), held], names=["node", "shingles"])
 
-    return rows.select("node", F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("_t")).mapInArrow(run, "node bigint, shingles array<bigint>")
+    return rows.select("node", text_col).mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, text_col: str, shingle: int, similarity: float, max_broadcast: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity. Only their texts are read again."""
-    pairs = kept(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """The pairs (a, b), with the widths wa and wb of their sets, whose shingle sets have at least this Jaccard similarity.
+
+    A pair whose widths alone rule it out isn't asked; only the texts of the others are read again.
+    """
+    pairs = pairs.where((F.col("a") != F.col("b")) & (F.try_divide(F.least("wa", "wb"), F.greatest("wa", "wb")) >= similarity))
+    pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     held = kept(_shingled(sets.join(sized(asked, asked.count(), max_broadcast), "node", "left_semi"), text_col, shingle))
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -316,30 +329,52 @@ def _groups(rows: DataFrame, text_col: str, shingle: int, similarity: float, max
     one = kept(rows.groupBy("node").agg(F.min("_row").alias("_row")))
     many = one.count()
     sets = rows.join(sized(one.select("_row"), many, max_broadcast), "_row", "left_semi")
-    keyed = sets.select("node", F.explode("keys").alias("key"))
-    least = kept(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
+    keyed = sets.select("node", "width", F.explode("keys").alias("key"))
+    first = F.min(F.struct("node", "width"))
+    least = kept(keyed.groupBy("key").agg(first.alias("x"), F.count("*").alias("n")).where("n > 1").select("key", F.col("x.node").alias("least"), F.col("x.width").alias("w")))
     members = kept(keyed.join(sized(least, least.count(), max_broadcast), "key").where("node <> least"))
-    of_print = kept(sets.groupBy("fp").agg(F.min("node").alias("least")))
+    of_print = kept(sets.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.node").alias("least"), F.col("x.width").alias("w")))
     near = links(of_print.select("fp"), of_print.count(), max_bits)
-    near = near.join(of_print.toDF("a", "na"), "a").join(of_print.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    equal = sets.select("fp", "node").join(of_print, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    sure = _alike(members.select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(near).unionByName(equal), sets, text_col, shingle, similarity, max_broadcast)
+    near = near.join(of_print.toDF("a", "na", "wa"), "a").join(of_print.toDF("b", "nb", "wb"), "b").select(F.col("na").alias("a"), "wa", F.col("nb").alias("b"), "wb")
+    equal = sets.select("fp", "node", "width").join(of_print, "fp")
+    to_least = lambda df: df.select(F.col("least").alias("a"), F.col("w").alias("wa"), F.col("node").alias("b"), F.col("width").alias("wb"))
+    sure = _alike(to_least(members).unionByName(near).unionByName(to_least(equal)), sets, text_col, shingle, similarity, max_broadcast)
     found = kept(components(sure))
-    # a bucket's members were compared with its smallest one; what that has not joined is compared pair by pair
+    # a bucket's members were compared with its smallest one; of the buckets that this hasn't joined, all members are searched
     named = kept(members.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    named = kept(named.join(open_, "key", "left_semi"))
-    a, b = named.toDF("key", "a", "la"), named.toDF("key", "b", "lb")
-    rest = a.join(b, "key").where("a < b AND la <> lb").select("a", "b")
+    named = kept(named.join(open_, "key", "left_semi").select("node", "label").distinct())
+    rest = _prefix_pairs(named, sets, text_col, shingle, similarity, max_broadcast)
     return components(sure.unionByName(_alike(rest, sets, text_col, shingle, similarity, max_broadcast)))
 
 
+def _prefix_pairs(named: DataFrame, sets: DataFrame, text_col: str, shingle: int, similarity: float, max_broadcast: int) -> DataFrame:
+    """(a, wa, b, wb): pairs of nodes (node, label) with different labels, all those of at least this similarity among them.
+
+    Each set is ordered by how rare its shingles are. A similar pair shares one among the first few of either: of the
+    smaller set w - ceil(2 s / (1 + s) w) + 1, of the larger one w - ceil(s w) + 1. Texts that differ by more have
+    shingles of their own there, so a large group of half-similar texts makes few pairs.
+    """
+    held = kept(_shingled(sets.join(sized(named.select("node"), named.count(), max_broadcast), "node", "left_semi"), text_col, shingle))
+    each = held.select("node", F.explode("shingles").alias("t"))
+    times = each.groupBy("t").agg(F.count("*").alias("n"))
+    ordered = each.join(times, "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("ts")).join(named, "node").withColumn("w", F.size("ts").cast("long"))
+    least = lambda share: (F.col("w") - F.ceil(F.col("w") * share - 1e-6) + 1).cast("int")
+    first = lambda share: F.filter(F.slice("ts", F.lit(1), least(share)), lambda x: x["n"] > 1)
+    ordered = kept(ordered.select("node", "label", "w", first(2 * similarity / (1 + similarity)).alias("short"), first(similarity).alias("long")))
+    small = ordered.select(F.col("node").alias("a"), F.col("w").alias("wa"), F.col("label").alias("la"), F.explode("short.t").alias("t"))
+    large = ordered.select(F.col("node").alias("b"), F.col("w").alias("wb"), F.col("label").alias("lb"), F.explode("long.t").alias("t"))
+    fits = (F.col("la") != F.col("lb")) & (F.col("wa") <= F.col("wb")) & (F.try_divide("wa", "wb") >= similarity)
+    return small.join(large, "t").where(fits).select("a", "wa", "b", "wb")
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, max_bits: int = 3, max_broadcast: int = 500_000) -> DataFrame:
     """df's rows without near-duplicates: of each class the row with the smallest (id, hash of text) stays, once.
 
     Two texts are linked if the Jaccard similarity of their sets of `shingle` words is at least `similarity`; a class
     is what links reach. Candidates are texts that share a band of their MinHash signature or whose fingerprints link
-    within max_bits; each is confirmed by the exact similarity. A band is missed with the probability
+    within max_bits; each is confirmed by the exact similarity. A band's texts are compared with one of them, and where
+    that leaves some apart, with all that share a rare shingle. A band is missed with the probability
     (1 - s^ROWS)^BANDS, 0.2 % at s = 0.8. Null texts count as empty, and all texts without words are one class. A null
     id comes after all others.
     """
