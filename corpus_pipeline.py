@@ -14,6 +14,8 @@ from millrace.llm.common import kept, sized, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MAX_BROADCAST = 500_000
+#: Bytes of texts that the last stage works off at a time, less than by default as other stages' workers still hold memory
+SLICE = 4_000_000
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, how many these are, and whether decoding them gives the text back."""
     same = lambda model, text, ids: model.decode(ids) == text.replace(pieces.WRITTEN, pieces.MARK)
     derive = {"token_ids": ("array<int>", lambda model, text, ids: ids), "n_tokens": ("bigint", lambda model, text, ids: len(ids)), "round_trip": ("boolean", same)}
-    return pieces.encode(docs.select(*COLUMNS), derive=derive)
+    return pieces.encode(docs.select(*COLUMNS), derive=derive, slice_bytes=SLICE)
 
 
 STAGES = [
