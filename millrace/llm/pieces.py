@@ -235,22 +235,22 @@ def _long(model: Model, text: str) -> bytes:
     return b"".join(out)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of at most SLICE bytes of text, or one row."""
+def _sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most `size` bytes of text, or one row."""
     for b in batches:
         ends, at = np.cumsum(pc.binary_length(b.column("_text")).to_numpy(zero_copy_only=False), dtype=np.int64), 0
         while at < b.num_rows:
             before = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+            end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield b.slice(at, end - at)
             at = end
 
 
-def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *, model_path: str = MODEL, carry: tuple[str, ...] | None = None, derive: dict[str, tuple[str, Callable[[Model, str, np.ndarray], object]]] | None = None) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *, model_path: str = MODEL, carry: tuple[str, ...] | None = None, derive: dict[str, tuple[str, Callable[[Model, str, np.ndarray], object]]] | None = None, slice_bytes: int = SLICE) -> DataFrame:
     """The columns `carry` of df (all, if None) and out_col: array<int> with the ids of the whole text.
 
     derive: instead of out_col, columns of what is made in the same task from (model, text, ids as an int32 array):
-    {name: (type, function)}.
+    {name: (type, function)}. slice_bytes: of texts worked off at a time; fewer take less memory and more time.
     Null and empty texts have no ids. Rows are encoded one by one, so null and repeated ids or rows keep their rows.
     A column of df named like an output is replaced. An empty table gives an empty result.
     """
@@ -262,7 +262,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", *,
     arrow = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sliced(batches):
+        for b in _sliced(batches, slice_bytes):
             texts = b.column("_text").to_pylist()
             found = encode_texts(model, texts)
             for at in range(0, len(texts), ROWS_OUT):  # few at a time, as ids take several times the space of texts

@@ -41,6 +41,8 @@ SEED, BITS, FANOUT = 42, 64, 8
 MANY, SPLITS = 32, 2
 #: MinHash bands of deduplicated(): texts that agree on all rows of one band are compared
 BANDS, ROWS = 20, 6
+#: Texts of a band that are compared pair by pair
+PAIRED = 64
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -340,11 +342,16 @@ def _groups(rows: DataFrame, text_col: str, shingle: int, similarity: float, max
     to_least = lambda df: df.select(F.col("least").alias("a"), F.col("w").alias("wa"), F.col("node").alias("b"), F.col("width").alias("wb"))
     sure = _alike(to_least(members).unionByName(near).unionByName(to_least(equal)), sets, text_col, shingle, similarity, max_broadcast)
     found = kept(components(sure))
-    # a bucket's members were compared with its smallest one; of the buckets that this hasn't joined, all members are searched
-    named = kept(members.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    named = kept(named.join(open_, "key", "left_semi").select("node", "label").distinct())
-    rest = _prefix_pairs(named, sets, text_col, shingle, similarity, max_broadcast)
+    # a bucket's members were compared with its smallest one; a bucket that this hasn't joined is compared pair by pair
+    # if it is small, and the members of larger ones are searched by their rare shingles
+    named = kept(members.join(found, "node", "left").select("key", "node", "width", F.coalesce("label", "node").alias("label")))
+    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    named = kept(named.join(open_, "key"))
+    few = named.where(F.col("n") <= PAIRED).select("key", "node", "width", "label")
+    a, b = few.toDF("key", "a", "wa", "la"), few.toDF("key", "b", "wb", "lb")
+    paired = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.try_divide(F.least("wa", "wb"), F.greatest("wa", "wb")) >= similarity)).select("a", "wa", "b", "wb")
+    many = named.where(F.col("n") > PAIRED).select("node", "label").distinct()
+    rest = paired.unionByName(_prefix_pairs(many, sets, text_col, shingle, similarity, max_broadcast))
     return components(sure.unionByName(_alike(rest, sets, text_col, shingle, similarity, max_broadcast)))
 
 
@@ -352,19 +359,20 @@ def _prefix_pairs(named: DataFrame, sets: DataFrame, text_col: str, shingle: int
     """(a, wa, b, wb): pairs of nodes (node, label) with different labels, all those of at least this similarity among them.
 
     Each set is ordered by how rare its shingles are. A similar pair shares one among the first few of either: of the
-    smaller set w - ceil(2 s / (1 + s) w) + 1, of the larger one w - ceil(s w) + 1. Texts that differ by more have
-    shingles of their own there, so a large group of half-similar texts makes few pairs.
+    smaller set w - ceil(2 s / (1 + s) w) + 1, of the larger one w - ceil(s w) + 1; and the first that they share leaves
+    enough behind it in both. Texts that differ by more have shingles of their own there.
     """
     held = kept(_shingled(sets.join(sized(named.select("node"), named.count(), max_broadcast), "node", "left_semi"), text_col, shingle))
     each = held.select("node", F.explode("shingles").alias("t"))
     times = each.groupBy("t").agg(F.count("*").alias("n"))
     ordered = each.join(times, "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("ts")).join(named, "node").withColumn("w", F.size("ts").cast("long"))
     least = lambda share: (F.col("w") - F.ceil(F.col("w") * share - 1e-6) + 1).cast("int")
-    first = lambda share: F.filter(F.slice("ts", F.lit(1), least(share)), lambda x: x["n"] > 1)
+    first = lambda share: F.filter(F.transform(F.slice("ts", F.lit(1), least(share)), lambda x, i: F.struct(x["t"].alias("t"), F.when(x["n"] > 1, i).alias("at"))), lambda x: x["at"].isNotNull())
     ordered = kept(ordered.select("node", "label", "w", first(2 * similarity / (1 + similarity)).alias("short"), first(similarity).alias("long")))
-    small = ordered.select(F.col("node").alias("a"), F.col("w").alias("wa"), F.col("label").alias("la"), F.explode("short.t").alias("t"))
-    large = ordered.select(F.col("node").alias("b"), F.col("w").alias("wb"), F.col("label").alias("lb"), F.explode("long.t").alias("t"))
-    fits = (F.col("la") != F.col("lb")) & (F.col("wa") <= F.col("wb")) & (F.try_divide("wa", "wb") >= similarity)
+    small = ordered.select(F.col("node").alias("a"), F.col("w").alias("wa"), F.col("label").alias("la"), F.inline("short")).withColumnRenamed("at", "pa")
+    large = ordered.select(F.col("node").alias("b"), F.col("w").alias("wb"), F.col("label").alias("lb"), F.inline("long")).withColumnRenamed("at", "pb")
+    behind = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb")) + 1e-6 >= (F.col("wa") + F.col("wb")) * (similarity / (1 + similarity))
+    fits = (F.col("la") != F.col("lb")) & (F.col("wa") <= F.col("wb")) & (F.try_divide("wa", "wb") >= similarity) & behind
     return small.join(large, "t").where(fits).select("a", "wa", "b", "wb")
 
 
@@ -374,7 +382,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two texts are linked if the Jaccard similarity of their sets of `shingle` words is at least `similarity`; a class
     is what links reach. Candidates are texts that share a band of their MinHash signature or whose fingerprints link
     within max_bits; each is confirmed by the exact similarity. A band's texts are compared with one of them, and where
-    that leaves some apart, with all that share a rare shingle. A band is missed with the probability
+    that leaves some apart, with each other: pair by pair up to PAIRED texts, beyond that by the rare shingles they share. A band is missed with the probability
     (1 - s^ROWS)^BANDS, 0.2 % at s = 0.8. Null texts count as empty, and all texts without words are one class. A null
     id comes after all others.
     """

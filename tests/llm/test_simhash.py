@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from millrace.llm import simhash
@@ -76,7 +77,9 @@ def test_dedup_finds_planted_edits(spark):
     assert len(near & left) <= len(near) * 0.01
 
 
-def test_dedup_compares_members_of_a_bucket(spark):
+@pytest.mark.parametrize("paired", [64, 0])
+def test_dedup_compares_members_of_a_bucket(spark, monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
     # a chain: each text is near its neighbours only, and all of it is one class
     base = [f"v{i}" for i in range(400)]
     rows = [(k, " ".join(["y%d" % i if i < 14 * k else w for i, w in enumerate(base)])) for k in range(12)]
