@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side of at most so many estimated bytes is broadcast; beyond it both sides shuffle.
+#: A side whose rows take at most so many bytes in memory is broadcast; beyond it both sides shuffle.
 MAX_BROADCAST_BYTES = 64 << 20
+#: What a broadcast row takes besides its columns: its header and its place in the hash table
+ROW_BYTES = 64
 
 
 def in_ranges(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
@@ -44,6 +46,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def held_bytes(df: DataFrame) -> int:
+    """What the rows of df take in a broadcast's hash table. They are counted; files tell little, as they are compressed."""
+    wide = (F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or "<" in kind or "char" in kind)
+    row = F.lit(ROW_BYTES + 8 * len(df.columns)).cast("long") + reduce(Column.__add__, wide, F.lit(0))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
 def hash_join(build: DataFrame, probe: DataFrame, build_key: str, probe_key: str, *, duplicates: str = "all", seq: str | None = None, hint: str | None = None) -> DataFrame:
     """Inner equi-join; of build rows with one key all, the first or the last (by seq) match.
 
@@ -55,9 +64,12 @@ def hash_join(build: DataFrame, probe: DataFrame, build_key: str, probe_key: str
 
 
 def replication_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Inner join that sends the right side everywhere if its estimated bytes are within the bound, and else shuffles both."""
-    few = estimated_bytes(right) <= MAX_BROADCAST_BYTES
-    return left.join(F.broadcast(right) if few else right, left[left_key] == right[right_key])
+    """Inner join that sends the right side everywhere if its rows are within the bound in memory, and else shuffles both.
+
+    The rows are counted only where the estimate is within the bound too.
+    """
+    few = estimated_bytes(right) <= MAX_BROADCAST_BYTES and held_bytes(right) <= MAX_BROADCAST_BYTES
+    return left.join(F.broadcast(right) if few else right.hint("merge"), left[left_key] == right[right_key])
 
 
 def semi_join_reduction(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

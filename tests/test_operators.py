@@ -46,6 +46,23 @@ def test_joins_with_an_empty_side(sides, empty):
         assert found.count() == 0
 
 
+@pytest.mark.parametrize(("rows", "sent"), [(1_000, True), (1_000_000, False)])
+def test_replication_join_sends_only_what_fits_in_memory(spark, tmp_path, rows, sent):
+    # a file of a few KB whatever the rows
+    spark.range(rows).select((F.col("id") % 3).alias("q"), F.lit(7).alias("b")).write.parquet(f"{tmp_path}/right")
+    right, left = spark.read.parquet(f"{tmp_path}/right"), spark.createDataFrame([(1, 4), (5, 6)], "k long, a long")
+    assert rel.estimated_bytes(right) < 1 << 20
+    found = rel.replication_join(left, right, "k", "q")
+    assert found.count() == len(range(1, rows, 3))
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == sent
+
+
+def test_held_bytes_counts_texts_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "x" * 1000), (2, None)], "k long, t string")
+    assert rel.held_bytes(df) == 2 * (rel.ROW_BYTES + 16) + 1000
+    assert rel.held_bytes(df.limit(0)) == 0
+
+
 def test_asymmetric_join_moves_only_the_right_side(spark, sides):
     _, _, dl, dr = sides
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
