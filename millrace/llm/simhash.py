@@ -21,7 +21,7 @@ number of distinct fingerprints grows, which keeps the top nodes small. Texts ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 from math import comb
 
@@ -43,6 +43,8 @@ MANY, SPLITS = 32, 2
 BANDS, ROWS = 20, 6
 #: Texts of a band that are compared pair by pair
 PAIRED = 64
+#: Sets that show what a family of larger bands has in common, about, and how many cores are tried for it
+SEEN, CORES = 64, 3
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -343,37 +345,89 @@ def _groups(rows: DataFrame, text_col: str, shingle: int, similarity: float, max
     sure = _alike(to_least(members).unionByName(near).unionByName(to_least(equal)), sets, text_col, shingle, similarity, max_broadcast)
     found = kept(components(sure))
     # a bucket's members were compared with its smallest one; a bucket that this hasn't joined is compared pair by pair
-    # if it is small, and the members of larger ones are searched by their rare shingles
+    # if it is small, and the members of larger ones are searched by how they differ from what most of them share
     named = kept(members.join(found, "node", "left").select("key", "node", "width", F.coalesce("label", "node").alias("label")))
     open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
     named = kept(named.join(open_, "key"))
     few = named.where(F.col("n") <= PAIRED).select("key", "node", "width", "label")
     a, b = few.toDF("key", "a", "wa", "la"), few.toDF("key", "b", "wb", "lb")
-    paired = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.try_divide(F.least("wa", "wb"), F.greatest("wa", "wb")) >= similarity)).select("a", "wa", "b", "wb")
-    many = named.where(F.col("n") > PAIRED).select("node", "label").distinct()
-    rest = paired.unionByName(_prefix_pairs(many, sets, text_col, shingle, similarity, max_broadcast))
+    rest = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.try_divide(F.least("wa", "wb"), F.greatest("wa", "wb")) >= similarity)).select("a", "wa", "b", "wb")
+    many = named.where(F.col("n") > PAIRED)
+    if not many.isEmpty():
+        family = components(many.select("key", "node"), "key", "node").withColumnRenamed("label", "family")
+        many = kept(many.select("node", "label").distinct().join(family, "node"))
+        rest = rest.unionByName(_framed_pairs(many, sets, text_col, shingle, similarity, max_broadcast))
     return components(sure.unionByName(_alike(rest, sets, text_col, shingle, similarity, max_broadcast)))
 
 
-def _prefix_pairs(named: DataFrame, sets: DataFrame, text_col: str, shingle: int, similarity: float, max_broadcast: int) -> DataFrame:
-    """(a, wa, b, wb): pairs of nodes (node, label) with different labels, all those of at least this similarity among them.
+def _cores(held: DataFrame) -> DataFrame:
+    """(family, core): the shingles that stand in over half of a family's sets, judged by about SEEN of them."""
+    size = held.groupBy("family").agg(F.count("*").alias("n"))
+    some = held.join(size, "family").where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.col("n") / SEEN).cast("long")) == 0)
+    each = some.select("family", F.explode("shingles").alias("t")).groupBy("family", "t").agg(F.count("*").alias("n"))
+    half = some.groupBy("family").agg((F.count("*") / 2).alias("half"))
+    return each.join(half, "family").where("n > half").groupBy("family").agg(F.collect_list("t").alias("core"))
 
-    Each set is ordered by how rare its shingles are. A similar pair shares one among the first few of either: of the
-    smaller set w - ceil(2 s / (1 + s) w) + 1, of the larger one w - ceil(s w) + 1; and the first that they share leaves
-    enough behind it in both. Texts that differ by more have shingles of their own there.
+
+def _framed_pairs(named: DataFrame, sets: DataFrame, text_col: str, shingle: int, similarity: float, max_broadcast: int) -> DataFrame:
+    """(a, wa, b, wb): pairs of nodes (node, label, family) of one family; they link what all similar pairs with different labels link.
+
+    A set is taken as how it differs from its family's core: p shingles, of which it lacks x, and it has y others. With
+    r = s / (1 + s), two sets have at least similarity s if and only if their differences share at least c + c' of
+    these, where c = (1 - r) x + r y - (1 - 2 r) p / 2. This holds for any core, so all that depends on it is the time.
+
+    * c + c' <= 0: near without sharing any. Both are then near the set with the smallest c too, and are paired with it.
+    * c + c' > 0: they share a difference, and the first that they share, the rarest first, leaves enough behind it in
+      both. Differences of one set alone can't be shared, so texts that were each edited in their own way are told
+      apart by their numbers.
+
+    Sets that differ from the core by as much as they are large are compared among each other with a core of their own.
     """
-    held = kept(_shingled(sets.join(sized(named.select("node"), named.count(), max_broadcast), "node", "left_semi"), text_col, shingle))
-    each = held.select("node", F.explode("shingles").alias("t"))
-    times = each.groupBy("t").agg(F.count("*").alias("n"))
-    ordered = each.join(times, "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("ts")).join(named, "node").withColumn("w", F.size("ts").cast("long"))
-    least = lambda share: (F.col("w") - F.ceil(F.col("w") * share - 1e-6) + 1).cast("int")
-    first = lambda share: F.filter(F.transform(F.slice("ts", F.lit(1), least(share)), lambda x, i: F.struct(x["t"].alias("t"), F.when(x["n"] > 1, i).alias("at"))), lambda x: x["at"].isNotNull())
-    ordered = kept(ordered.select("node", "label", "w", first(2 * similarity / (1 + similarity)).alias("short"), first(similarity).alias("long")))
-    small = ordered.select(F.col("node").alias("a"), F.col("w").alias("wa"), F.col("label").alias("la"), F.inline("short")).withColumnRenamed("at", "pa")
-    large = ordered.select(F.col("node").alias("b"), F.col("w").alias("wb"), F.col("label").alias("lb"), F.inline("long")).withColumnRenamed("at", "pb")
-    behind = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb")) + 1e-6 >= (F.col("wa") + F.col("wb")) * (similarity / (1 + similarity))
-    fits = (F.col("la") != F.col("lb")) & (F.col("wa") <= F.col("wb")) & (F.try_divide("wa", "wb") >= similarity) & behind
-    return small.join(large, "t").where(fits).select("a", "wa", "b", "wb")
+    held = _shingled(sets.join(sized(named.select("node"), named.count(), max_broadcast), "node", "left_semi"), text_col, shingle)
+    held = kept(held.join(named, "node"))
+    r = similarity / (1 + similarity)
+    out, none, slack = [], F.array().cast("array<bigint>"), 1e-6
+    for left in reversed(range(CORES)):
+        core = kept(_cores(held))
+        total = core.agg(F.sum(F.size("core"))).first()[0] or 0
+        own = held.join(sized(core, total, max_broadcast), "family", "left").withColumn("core", F.coalesce("core", none))
+        own = own.withColumns({"lacks": F.array_except("core", "shingles"), "adds": F.array_except("shingles", "core"), "w": F.size("shingles").cast("long")})
+        c = F.size("lacks") * (1 - r) + F.size("adds") * r - F.size("core") * ((1 - 2 * r) / 2)
+        own = own.select("node", "label", "family", "w", c.alias("c"), F.concat("lacks", "adds").alias("ts"))
+        own = kept(own.withColumn("near", F.size("ts") < F.col("w")))
+        first = own.groupBy("family").agg(F.min(F.struct("c", "node", "w")).alias("x")).select("family", F.col("x.c").alias("c0"), F.col("x.node").alias("a"), F.col("x.w").alias("wa"))
+        first = kept(first)
+        star = own.join(sized(first, first.count(), max_broadcast), "family").where(F.col("c") + F.col("c0") <= slack)
+        out.append(kept(star.where("node <> a").select("a", "wa", F.col("node").alias("b"), F.col("w").alias("wb"))))
+        # labels that the star joins are one from here on
+        joined = kept(star.select("family", "label", F.col("a").alias("of")).distinct())
+        own = own.join(sized(joined, joined.count(), max_broadcast), ["family", "label"], "left").withColumn("label", F.coalesce("of", "label"))
+        last = left == 0 or own.where("near").isEmpty()
+        out.append(kept(_sharing(own, first, similarity, slack, max_broadcast, last)))
+        far = own.where("not near").select("node", "label", "family")
+        if last or far.isEmpty():
+            break
+        held = kept(held.drop("label", "family").join(far, "node"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _sharing(own: DataFrame, first: DataFrame, similarity: float, slack: float, max_broadcast: int, far_too: bool) -> DataFrame:
+    """(a, wa, b, wb) of _framed_pairs() that share a difference; far_too: also those of two sets that aren't near."""
+    each = own.select("node", "family", F.explode("ts").alias("t"))
+    times = each.groupBy("family", "t").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(times, ["family", "t"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("ts"))
+    own = own.drop("ts").join(shared, "node").join(sized(first.select("family", "c0"), first.count(), max_broadcast), "family")
+    # the place of each from behind, as far as it can be the first shared: with sets of no larger c, with those of no smaller c
+    places = F.transform("ts", lambda x, i: F.struct(x["t"].alias("t"), (F.size("ts") - i).alias("left")))
+    least = lambda c: F.filter(places, lambda x: x["left"] + slack >= c)
+    own = kept(own.select("node", "label", "family", "w", "c", "near", least(F.col("c") + F.col("c0")).alias("outer"), least(2 * F.col("c")).alias("inner")))
+    part = lambda places, n: own.select("family", *(F.col(x).alias(x + n) for x in ("node", "label", "w", "c", "near")), F.inline(places)).withColumnRenamed("left", "left" + n)
+    a, b = part("inner", "a"), part("outer", "b")
+    fits = (F.col("labela") != F.col("labelb")) & (F.struct("ca", "nodea") < F.struct("cb", "nodeb")) & (F.least("lefta", "leftb") + slack >= F.col("ca") + F.col("cb"))
+    fits = fits & (F.col("ca") + F.col("cb") > slack) & (F.least("wa", "wb") / F.greatest("wa", "wb") >= similarity)
+    if not far_too:
+        fits = fits & (F.col("neara") | F.col("nearb"))
+    return a.join(b, ["family", "t"]).where(fits).select(F.col("nodea").alias("a"), "wa", F.col("nodeb").alias("b"), "wb")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, max_bits: int = 3, max_broadcast: int = 500_000) -> DataFrame:
@@ -382,7 +436,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two texts are linked if the Jaccard similarity of their sets of `shingle` words is at least `similarity`; a class
     is what links reach. Candidates are texts that share a band of their MinHash signature or whose fingerprints link
     within max_bits; each is confirmed by the exact similarity. A band's texts are compared with one of them, and where
-    that leaves some apart, with each other: pair by pair up to PAIRED texts, beyond that by the rare shingles they share. A band is missed with the probability
+    that leaves some apart, with each other: pair by pair up to PAIRED texts, beyond that by how they differ from what most
+    of them share. A band is missed with the probability
     (1 - s^ROWS)^BANDS, 0.2 % at s = 0.8. Null texts count as empty, and all texts without words are one class. A null
     id comes after all others.
     """

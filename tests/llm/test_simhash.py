@@ -92,3 +92,64 @@ def test_dedup_with_repeated_and_null_ids(spark):
     rows = [(1, a), (1, b), (2, a), (3, b), (None, "alone twice"), (None, "alone twice"), (4, "alone twice not"), (4, "alone twice not")]
     left = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(left) == 4 and set(left) == {(1, a), (1, b), (None, "alone twice"), (4, "alone twice not")}
+
+
+def edited(rng: random.Random, base: list, at: list, own: str) -> list:
+    return [f"{own}{i}" if i in set(at) else w for i, w in enumerate(base)]
+
+
+def test_copies_just_under_the_threshold_are_not_paired(spark, monkeypatch):
+    # copies of one text, each with two or four words of its own: near the text or not, and hardly ever near each other
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(130)]
+    rows = [(i, " ".join(edited(rng, base, rng.sample(range(130), rng.choice([2, 2, 4])), f"own{i}x"))) for i in range(300)]
+    rows.append((300, " ".join(base)))
+    monkeypatch.setattr(simhash, "PAIRED", 0)
+    asked, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *rest: asked.append(pairs.count()) or alike(pairs, *rest))
+    left = {r[0] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingle_sets(t) for _, t in rows]
+    joined = brute_labels(sets, 0.8)
+    assert left == set(joined)
+    assert asked[1] <= 4 * len(rows), asked
+
+
+def brute_labels(sets: list, similarity: float) -> list:
+    label = list(range(len(sets)))
+    near = [[j for j, q in enumerate(sets) if len(p & q) >= similarity * len(p | q) - 1e-9] for p in sets]
+    while (new := [min(label[j] for j in n) for n in near]) != label:
+        label = new
+    return label
+
+
+@pytest.mark.parametrize(("similarity", "seen", "cores"), [(0.8, 64, 3), (0.8, 2, 2), (0.6, 8, 1), (0.5, 64, 3)])
+def test_framed_pairs_link_what_brute_force_links(spark, monkeypatch, similarity, seen, cores):
+    monkeypatch.setattr(simhash, "SEEN", seen)
+    monkeypatch.setattr(simhash, "CORES", cores)
+    rng = random.Random(seen)
+    texts = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(rng.choice([40, 90]))]
+        for kind in "ab":  # copies of copies, edits that several share, shorter and longer copies
+            second = edited(rng, base, rng.sample(range(len(base)), 6), f"{kind}{f}") if kind == "b" else base
+            for n in range(25):
+                at = rng.sample(range(len(base)), rng.choice([0, 1, 1, 2, 3, 5, 9]))
+                words = edited(rng, second, at, rng.choice([f"own{f}{kind}{n}_", "common"]))
+                texts.append(" ".join(words[: rng.choice([len(words), len(words), len(words) - 9])]))
+    texts = sorted(set(texts))
+    rows = simhash._sets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), "t", 5)
+    nodes = {r["node"]: r["i"] for r in rows.select("i", "node").collect()}
+    named = rows.selectExpr("node", "node AS label", "CAST(0 AS LONG) AS family")
+    pairs = simhash._framed_pairs(named, rows, "t", 5, similarity, 1000)
+    sets = [shingle_sets(t) for t in texts]
+    of = list(range(len(texts)))
+    top = lambda x: x if of[x] == x else top(of[x])
+    for r in pairs.collect():
+        a, b = nodes[r["a"]], nodes[r["b"]]
+        assert (r["wa"], r["wb"]) == (len(sets[a]), len(sets[b]))
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+            a, b = top(a), top(b)
+            of[max(a, b)] = min(a, b)
+    want = brute_labels(sets, similarity)
+    assert [top(i) for i in range(len(texts))] == want
+    assert 3 < len(set(want)) < len(texts)
