@@ -360,13 +360,13 @@ def _groups(rows: DataFrame, text_col: str, shingle: int, similarity: float, max
     return components(sure.unionByName(_alike(rest, sets, text_col, shingle, similarity, max_broadcast)))
 
 
-def _cores(held: DataFrame) -> DataFrame:
+def _cores(held: DataFrame, max_broadcast: int) -> DataFrame:
     """(family, core): the shingles that stand in over half of a family's sets, judged by about SEEN of them."""
-    size = held.groupBy("family").agg(F.count("*").alias("n"))
-    some = held.join(size, "family").where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.col("n") / SEEN).cast("long")) == 0)
+    size = kept(held.groupBy("family").agg(F.count("*").alias("n")))
+    some = held.join(sized(size, size.count(), max_broadcast), "family").where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.col("n") / SEEN).cast("long")) == 0)
     each = some.select("family", F.explode("shingles").alias("t")).groupBy("family", "t").agg(F.count("*").alias("n"))
     half = some.groupBy("family").agg((F.count("*") / 2).alias("half"))
-    return each.join(half, "family").where("n > half").groupBy("family").agg(F.collect_list("t").alias("core"))
+    return each.join(sized(half, size.count(), max_broadcast), "family").where("n > half").groupBy("family").agg(F.collect_list("t").alias("core"))
 
 
 def _framed_pairs(named: DataFrame, sets: DataFrame, text_col: str, shingle: int, similarity: float, max_broadcast: int) -> DataFrame:
@@ -388,7 +388,7 @@ def _framed_pairs(named: DataFrame, sets: DataFrame, text_col: str, shingle: int
     r = similarity / (1 + similarity)
     out, none, slack = [], F.array().cast("array<bigint>"), 1e-6
     for left in reversed(range(CORES)):
-        core = kept(_cores(held))
+        core = kept(_cores(held, max_broadcast))
         total = core.agg(F.sum(F.size("core"))).first()[0] or 0
         own = held.join(sized(core, total, max_broadcast), "family", "left").withColumn("core", F.coalesce("core", none))
         own = own.withColumns({"lacks": F.array_except("core", "shingles"), "adds": F.array_except("shingles", "core"), "w": F.size("shingles").cast("long")})
